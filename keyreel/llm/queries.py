@@ -8,13 +8,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyreel.llm.garbled import find_garbled, garbled_flags, train, validate
+from keyreel.llm.mixing import mix_sources
 from keyreel.llm.nearest_time import nearest_in_time
 from keyreel.llm.runs import collapse_runs
+from keyreel.llm.similar_vectors import nearest_of_queries, similar_neighbours
 from keyreel.llm.split_items import split_oversized
+from keyreel.llm.subjects import assign_subjects, train_subjects
+from keyreel.llm.tokens import count_tokens, encode_corpus
 from keyreel.llm.top_n import top_n_per_group
 from keyreel.session import table, tidy_id
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of one modality with cosine of at least 0.90 of which one is among the ten most similar of the other."""
+    near = similar_neighbours(table(spark, sf_dir, "text_vectors"), space="modality", row="embedding_row", vec="vec", dim=64, k=10, at_least=0.9)
+    return near.select(F.col("space").alias("modality"), F.least("row", "neighbour").alias("row_a"), F.greatest("row", "neighbour").alias("row_b")).distinct()
+
+
+def p1_ten_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most similar vectors, however far, of every vector whose row is divisible by 20, against all rows."""
+    near = nearest_of_queries(table(spark, sf_dir, "text_vectors"), space="modality", row="embedding_row", vec="vec", dim=64, k=10, query=F.col("embedding_row") % 20 == 0)
+    return near.select(F.col("space").alias("modality"), F.col("row").alias("embedding_row"), "neighbour", "place", F.round("sim", 5).alias("sim"))
+
+
 def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of every over-long or over-wide speech chunk."""
     return split_oversized(table(spark, sf_dir, "asr_global_merged_v2"), id="embedding_row", text="text", start="start", end="end")
@@ -69,7 +85,46 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select(F.col("entity").alias("video_id"), "result_id")
 
 
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document."""
+    return encode_corpus(table(spark, sf_dir, "documents"), id="doc_id", text="text").dropDuplicates(["doc_id"])
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = count_tokens(table(spark, sf_dir, "documents"), id="doc_id", text="text", keep=["source"])
+    return mix_sources(docs, table(spark, sf_dir, "mix_targets"), id="doc_id", source="source", size="n_tokens")
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The selection of documents, in shuffled order."""
+    return _mixed(spark, sf_dir)[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of every source."""
+    return _mixed(spark, sf_dir)[1]
+
+
+def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train_subjects(docs, table(spark, sf_dir, "doc_labels"), id="doc_id", text="text", subject="subject")
+    return assign_subjects(docs, model, id="doc_id", text="text")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subjects that at least a third of a document's sentences deal with."""
+    return _subjects(spark, sf_dir).select("doc_id", "subject")
+
+
+def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus by subject: documents and their part of all documents."""
+    docs = table(spark, sf_dir, "documents").agg(F.countDistinct("doc_id").alias("all"))
+    return _subjects(spark, sf_dir).groupBy("subject").agg(F.count("*").alias("documents")).join(F.broadcast(docs)).select("subject", "documents", (F.col("documents") / F.col("all")).alias("part"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_ten_nearest": p1_ten_nearest,
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
     "p3_found": p3_found,
@@ -79,6 +134,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p5_restored": p5_restored,
     "p6_found": p6_found,
+    "p8_ids": p8_ids,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_composition": p10_composition,
 }
 
 _NEAREST = """
