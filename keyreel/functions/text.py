@@ -1,0 +1,264 @@
+"""Text expressions: folding, tokens, cleaning, cues, spans and anchors. Everything but NFKC runs inside the JVM."""
+
+from __future__ import annotations
+
+import json
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Latin letters that carry accents, by their plain letter; built from Unicode decompositions, precomposed forms only.
+_BY_PLAIN: dict[str, str] = {}
+for _code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+    _plain = unicodedata.normalize("NFD", chr(_code).lower())[0]
+    if len(chr(_code).lower()) == 1 and chr(_code) == chr(_code).lower() and "a" <= _plain <= "z" and chr(_code) != _plain:
+        _BY_PLAIN[chr(_code)] = _plain
+_BY_PLAIN["đ"] = "d"
+ACCENTED = "".join(sorted(_BY_PLAIN))
+PLAIN = "".join(_BY_PLAIN[c] for c in sorted(_BY_PLAIN))
+TOKEN = "([\\p{L}\\p{N}_]+)"
+
+#: Cue words of question types, in order of priority.
+QUESTION_CUES = [
+    ("screen_text", "\\b(chu|dong chu|bien|bang|tieu de|text|written|caption|sign|logo)\\b"),
+    ("spoken_fact", "\\b(noi|phat bieu|nghe|loi|said|says|spoken|mentioned|speaker)\\b"),
+    ("temporal_relation", "\\b(truoc|sau|before|after|then|tiep theo)\\b"),
+    ("count", "\\b(bao nhieu|may|how many|number of|count)\\b"),
+    ("color", "\\b(mau|colou?r)\\b"),
+    ("place", "\\b(o dau|noi nao|where|dia diem|place)\\b"),
+    ("person", "\\b(ai|who|nguoi nao|person)\\b"),
+]
+#: Answers that are none.
+NON_ANSWERS = ["", "unknown", "none", "null", "n/a", "khong biet", "khong ro", "evidence-only", "i don't know", "cannot determine", "khong xac dinh"]
+STOP_WORDS = ["the", "a", "an", "of", "in", "on", "at", "and", "or", "is", "are", "la", "va", "cua", "o", "trong", "cac", "nhung", "mot"]
+
+
+def fold(c: Column | str) -> Column:
+    """Lower case, without accents. Precomposed Latin letters only; ``fold_nfkc`` also takes compatibility forms."""
+    return F.translate(F.lower(F.col(c) if isinstance(c, str) else c), ACCENTED, PLAIN)
+
+
+def tokens(c: Column | str) -> Column:
+    """Folded tokens; null gives an empty list."""
+    return F.coalesce(F.regexp_extract_all(fold(c), F.lit(TOKEN), F.lit(1)), F.array().cast("array<string>"))
+
+
+def _nfkc(s: pd.Series) -> pd.Series:
+    def one(t: str | None) -> str | None:
+        if t is None:
+            return None
+        d = unicodedata.normalize("NFD", unicodedata.normalize("NFKC", t).casefold().replace("đ", "d"))
+        return "".join(c for c in d if unicodedata.category(c) != "Mn")
+
+    return s.map(one)
+
+
+def fold_nfkc(c: Column | str) -> Column:
+    """NFKC, casefold, marks stripped: for text with compatibility or decomposed forms."""
+    return F.pandas_udf(_nfkc, "string")(c)
+
+
+def squeeze(c: Column | str) -> Column:
+    """White space collapsed and trimmed."""
+    return F.trim(F.regexp_replace(c, "\\s+", " "))
+
+
+def strip_fences(c: Column | str) -> Column:
+    """Model output without code fences; phrases that say 'no text' become empty."""
+    inner = squeeze(F.regexp_replace(c, "```[a-zA-Z]*", " "))
+    return F.when(fold(inner).isin("no text", "khong co chu", "khong co van ban", "none", "n/a"), "").otherwise(inner)
+
+
+def decode_list(c: Column | str, size: Column | int) -> Column:
+    """A model's list-like response as an array; null where it isn't a list of the expected length."""
+    arr = F.from_json(F.regexp_extract(F.regexp_replace(c, "```[a-zA-Z]*", ""), "(?s)(\\[.*\\])", 1), "array<string>")
+    return F.when(F.size(arr) == size, arr)
+
+
+def quality_flags(c: Column | str) -> Column:
+    """Struct of flags: blank, replacement (U+FFFD), mojibake marks, long."""
+    col = F.col(c) if isinstance(c, str) else c
+    return F.struct(
+        F.coalesce(squeeze(col) == "", F.lit(True)).alias("blank"),
+        F.coalesce(col.contains("�"), F.lit(False)).alias("replacement"),
+        F.coalesce(col.rlike("[\\x{C2}-\\x{C6}][\\x{80}-\\x{BF}]|\\x{E1}[\\x{BA}\\x{BB}]"), F.lit(False)).alias("mojibake"),
+        F.coalesce(F.length(col) > 480, F.lit(False)).alias("long"),
+    )
+
+
+def content_tokens(c: Column | str) -> Column:
+    """Distinct tokens of two letters or more that aren't stop words."""
+    return F.filter(F.array_distinct(tokens(c)), lambda t: (F.length(t) > 1) & ~t.isin(STOP_WORDS))
+
+
+def quoted_spans(c: Column | str) -> Column:
+    """Texts in straight or curly double quotes, in order."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit("[\"“”«]([^\"“”«»]{2,200})[\"“”»]"), F.lit(1)), lambda x: F.trim(x)))
+
+
+def quote_atoms(c: Column | str) -> Column:
+    """Quoted spans, long ones split at line ends, semicolons, dashes and slashes into at most three parts of eight characters or more."""
+    parts = F.transform(quoted_spans(c), lambda q: F.when(F.length(q) <= 40, F.array(q)).otherwise(F.slice(F.filter(F.transform(F.split(q, "[\\n;—,/]"), lambda p: F.trim(p)), lambda p: F.length(p) >= 8), 1, 3)))
+    return F.array_distinct(F.flatten(parts))
+
+
+def numeric_anchors(c: Column | str) -> Column:
+    """A number with its unit and up to four words after it, within a clause."""
+    return F.array_distinct(F.regexp_extract_all(fold(c), F.lit("(\\d+(?:[.,]\\d+)*(?: [^\\s,.;:!?]+){1,4})"), F.lit(1)))
+
+
+def acronyms(c: Column | str) -> Column:
+    """Runs of two to six capitals or digits that start with a capital."""
+    return F.array_distinct(F.regexp_extract_all(c, F.lit("\\b(\\p{Lu}[\\p{Lu}\\p{Nd}]{1,5})\\b"), F.lit(1)))
+
+
+def proper_spans(c: Column | str, least_words: int = 2) -> Column:
+    """Runs of capitalised words."""
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(f"(\\p{{Lu}}\\p{{Ll}}+(?: \\p{{Lu}}\\p{{Ll}}+){{{least_words - 1},}})"), F.lit(1)))
+
+
+def numbers(c: Column | str) -> Column:
+    """Digits runs of a text as strings, separators dropped."""
+    return F.transform(F.regexp_extract_all(c, F.lit("(\\d+(?:[.,]\\d+)*)"), F.lit(1)), lambda x: F.regexp_replace(x, "[.,]", ""))
+
+
+#: Vietnamese and English number words, without accents.
+UNITS = {"khong": 0, "mot": 1, "hai": 2, "ba": 3, "bon": 4, "nam": 5, "lam": 5, "sau": 6, "bay": 7, "tam": 8, "chin": 9, "zero": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12, "twenty": 20, "thirty": 30, "forty": 40, "fifty": 50}
+SCALES = {"muoi": 10, "tram": 100, "nghin": 1000, "ngan": 1000, "trieu": 10**6, "ty": 10**9, "hundred": 100, "thousand": 1000, "million": 10**6, "billion": 10**9}
+
+
+def spoken_number(words: list[str]) -> int | None:
+    """The value of a run of number words; None if it has none."""
+    total = part = 0
+    seen = False
+    for w in words:
+        if w in UNITS:
+            part, seen = part + UNITS[w], True
+        elif w in SCALES:
+            seen, scale = True, SCALES[w]
+            if scale >= 1000:
+                total, part = total + max(part, 1) * scale, 0
+            else:
+                part = (part if part else 1) * scale if part < scale else part + scale
+        elif w not in ("linh", "le", "and"):
+            return None
+    return total + part if seen else None
+
+
+def _spoken(s: pd.Series) -> pd.Series:
+    out = []
+    for toks in s:
+        found, run = [], []
+        for w in [*(toks if toks is not None else []), ""]:
+            if w in UNITS or w in SCALES:
+                run.append(w)
+            elif run:
+                found.append(spoken_number(run))
+                run = []
+        out.append([x for x in found if x is not None])
+    return pd.Series(out)
+
+
+def spoken_numbers(c: Column | str) -> Column:
+    """Values of the number words in a text."""
+    return F.pandas_udf(_spoken, "array<long>")(tokens(c))
+
+
+def spelling_variants(c: Column | str) -> Column:
+    """The text, its form without accents and historic spellings, distinct and in order."""
+    col = F.col(c) if isinstance(c, str) else c
+    return F.array_distinct(F.array(squeeze(col), squeeze(fold(col)), squeeze(F.regexp_replace(fold(col), "\\bnhut\\b", "nhat"))))
+
+
+def query_views(query: Column, question: Column) -> Column:
+    """Ordered distinct query views: full, scene, question, anchors, quotes, variants; blanks dropped."""
+    first = lambda a: F.coalesce(a, F.array().cast("array<string>"))
+    every = F.concat(F.array(squeeze(F.concat_ws(" ", query, question)), squeeze(query), squeeze(question)), first(numeric_anchors(query)), first(quote_atoms(query)), first(acronyms(query)), first(proper_spans(query, 3)), F.array(squeeze(fold(query))))
+    return F.filter(F.array_distinct(F.filter(every, lambda x: x.isNotNull())), lambda x: x != "")
+
+
+def question_type(c: Column | str) -> Column:
+    """The first question type whose cue the folded text has, else 'action'."""
+    f = fold(c)
+    out = F.lit("action")
+    for name, cue in reversed(QUESTION_CUES):
+        out = F.when(f.rlike(cue), name).otherwise(out)
+    return F.when((F.col(c) if isinstance(c, str) else c).isNull(), None).otherwise(out)
+
+
+def plan_of(kind: Column) -> Column:
+    """Question types folded to routing plans."""
+    return F.when(kind.isin("screen_text", "ocr"), "screen_text").when(kind.isin("spoken_fact", "asr"), "spoken_fact").when(kind == "temporal_relation", "temporal").when(kind.isin("count", "color"), "visual_detail").otherwise("general")
+
+
+def specialist_routes(c: Column | str) -> Column:
+    """Specialists a query asks for; visual always."""
+    f = fold(c)
+    extra = F.array(F.when(f.rlike(QUESTION_CUES[0][1]), "ocr"), F.when(f.rlike(QUESTION_CUES[1][1]), "asr"), F.when(f.rlike("\\b(xe|nguoi|car|person|dog|cat|object|vat)\\b"), "object"))
+    return F.concat(F.array(F.lit("visual")), F.filter(extra, lambda x: x.isNotNull()))
+
+
+def tool_class(c: Column | str) -> Column:
+    """VISUAL, OCR, ASR, MATH, TABLE, or MIXED where more than one of them is asked for."""
+    f = fold(c)
+    cues = F.filter(F.array(F.when(f.rlike(QUESTION_CUES[0][1]), "OCR"), F.when(f.rlike(QUESTION_CUES[1][1]), "ASR"), F.when(f.rlike("\\b(tong|hieu|cong|tru|sum|total|average|percent)\\b|\\d\\s*[+*/-]\\s*\\d"), "MATH"), F.when(f.rlike("\\b(bang so lieu|table|hang|cot|row|column)\\b"), "TABLE")), lambda x: x.isNotNull())
+    return F.when(F.size(cues) == 0, "VISUAL").when(F.size(cues) == 1, cues[0]).otherwise("MIXED")
+
+
+def answer_text(c: Column | str) -> Column:
+    """A short answer from JSON ({"answer": ...}) or labelled text ('Answer: ...')."""
+    col = F.col(c) if isinstance(c, str) else c
+    labelled = F.regexp_replace(squeeze(col), "(?i)^(answer|đáp án|dap an|trả lời|tra loi)\\s*[:：]\\s*", "")
+    return F.coalesce(F.get_json_object(col, "$.answer"), labelled)
+
+
+def answer_language(c: Column | str) -> Column:
+    """vi where the text has Vietnamese letters or words, else en."""
+    col = F.col(c) if isinstance(c, str) else c
+    return F.when(col.rlike("[ăâđêôơưĂÂĐÊÔƠƯ\\x{1EA0}-\\x{1EF9}]") | fold(col).rlike("\\b(la gi|o dau|bao nhieu|cua|nhung)\\b"), "vi").otherwise("en")
+
+
+def is_non_answer(c: Column | str) -> Column:
+    """Null, deny-listed or refusing answers."""
+    f = squeeze(fold(c))
+    return F.coalesce(f.isin(NON_ANSWERS) | f.rlike("^(sorry|i cannot|i can't|toi khong the|khong the xac dinh)") | f.contains("evidence-only"), F.lit(True))
+
+
+#: Names that would give an answer away.
+LEAK_NAMES = ["answer", "ground_truth", "groundtruth", "gt", "label", "expected"]
+
+
+def has_leak(c: Column | str) -> Column:
+    """Whether a JSON object has a key, at any depth, that names an answer."""
+    return F.lower(c).rlike('"(' + "|".join(LEAK_NAMES) + ')"\\s*:')
+
+
+def leak_in(value: object) -> bool:
+    """As ``has_leak`` for a parsed object."""
+    if isinstance(value, dict):
+        return any(str(k).lower() in LEAK_NAMES or leak_in(v) for k, v in value.items())
+    return isinstance(value, list) and any(map(leak_in, value)) or (isinstance(value, str) and value[:1] == "{" and leak_in(json.loads(value)))
+
+
+def calculate(expression: str) -> float | None:
+    """The value of an arithmetic expression of numbers and + - * / ( ); None for anything else."""
+    import ast
+    import operator as op
+
+    ops = {ast.Add: op.add, ast.Sub: op.sub, ast.Mult: op.mul, ast.Div: op.truediv, ast.USub: op.neg, ast.UAdd: op.pos}
+
+    def value(n: ast.AST) -> float:
+        if isinstance(n, ast.Constant) and isinstance(n.value, (int, float)) and not isinstance(n.value, bool):
+            return n.value
+        if isinstance(n, ast.BinOp):
+            return ops[type(n.op)](value(n.left), value(n.right))
+        if isinstance(n, ast.UnaryOp):
+            return ops[type(n.op)](value(n.operand))
+        raise ValueError
+
+    try:
+        return float(value(ast.parse(expression.strip(), mode="eval").body))
+    except (ValueError, SyntaxError, KeyError, ZeroDivisionError, RecursionError):
+        return None

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyreel.plans import integrity
+from keyreel.plans import integrity, retrieval
 
-MODULES = (integrity,)
+MODULES = (retrieval, integrity)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,4 +23,4 @@ def sql() -> dict[str, str]:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The query that shows the engine."""
-    return integrity.p7_counts(spark, sf_dir)
+    return retrieval.zscore_fusion(spark, sf_dir)

@@ -1 +1 @@
-
+"""Sources, sinks and the building of tables."""
