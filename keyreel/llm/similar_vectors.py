@@ -26,8 +26,8 @@ from keyreel.session import BROADCAST_ROWS, cut_table
 LEAST_DIRECTIONS = 2048
 #: Arrays in which a vector opens a window.
 TAILS = 8
-#: Further projections whose collisions are counted.
-COUNTED = 128
+#: Further projections whose collisions are counted, and the deviations by which a near pair may miss its expected count.
+COUNTED, SPARE = 192, 3.5
 #: Rows of one array from which on it is split by the second array.
 HOT_ROWS = 100_000
 SEED = 20_240_229
@@ -58,7 +58,7 @@ def usable(df: DataFrame, vec: str, dim: int) -> DataFrame:
 
 
 def signatures(vectors: DataFrame, dim: int, directions: int) -> DataFrame:
-    """(space, row, ckey, sig, far, w0, w1): arrays with the vector's windows in ascending order, its place in them, packed signs.
+    """(space, row, ckey, sig, code): the arrays with the vector's windows in ascending order; the same with its place in them and packed signs, as bytes.
 
     ``ckey`` is equal for vectors of one direction, whatever their length (up to rounding). Unusable vectors are left out.
     """
@@ -88,20 +88,26 @@ def signatures(vectors: DataFrame, dim: int, directions: int) -> DataFrame:
                 sig = top * 2 + (value < 0)
                 order = np.argsort(sig, axis=1)
                 sig = np.take_along_axis(sig, order, 1).astype(np.int32)
-                place = np.take_along_axis(np.abs(value), order, 1) * scale
-                words = np.packbits(h[:, :COUNTED] > 0, axis=1).view(np.int64)
+                place = np.clip(np.take_along_axis(np.abs(value), order, 1) * scale, 0, 255).astype(np.uint8)
+                signs = np.packbits(h[:, :COUNTED] > 0, axis=1)
                 ckey = (np.round(unit.astype(np.float64) * 20_000).astype(np.int64) * mix).sum(1)
                 n = len(unit)
-                ends = pa.array(np.arange(0, (n + 1) * TAILS, TAILS, dtype=np.int32))
+                code = np.ascontiguousarray(np.concatenate((sig.astype(_sig_type(directions)).view(np.uint8).reshape(n, -1), place, signs), axis=1))
+                ends = lambda width: np.arange(0, (n + 1) * width, width, dtype=np.int32)
+                codes = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends(code.shape[1])), pa.py_buffer(code)])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).slice(lo, n), part.column(1).slice(lo, n), pa.array(ckey), pa.ListArray.from_arrays(ends, pa.array(sig.ravel())), pa.ListArray.from_arrays(ends, pa.array(place.astype(np.int16).ravel())), pa.array(words[:, 0]), pa.array(words[:, 1])],
-                    ["space", "row", "ckey", "sig", "far", "w0", "w1"],
+                    [part.column(0).slice(lo, n), part.column(1).slice(lo, n), pa.array(ckey), pa.ListArray.from_arrays(pa.array(ends(TAILS)), pa.array(sig.ravel())), codes],
+                    ["space", "row", "ckey", "sig", "code"],
                 )
 
-    return vectors.mapInArrow(run, "space string, row long, ckey long, sig array<int>, far array<smallint>, w0 long, w1 long")
+    return vectors.mapInArrow(run, "space string, row long, ckey long, sig array<int>, code binary")
 
 
-def _meeting(batches: Iterator[pa.RecordBatch], window: int, most_apart: int) -> Iterator[pa.RecordBatch]:
+def _sig_type(directions: int) -> type:
+    return np.uint16 if 2 * directions <= 1 << 16 else np.uint32
+
+
+def _meeting(batches: Iterator[pa.RecordBatch], directions: int, window: int, most_apart: int) -> Iterator[pa.RecordBatch]:
     """Pairs of rows that meet in two windows and collide in enough of the counted projections, each pair once per partition set."""
     table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
     if table is None or not table.num_rows:
@@ -113,10 +119,15 @@ def _meeting(batches: Iterator[pa.RecordBatch], window: int, most_apart: int) ->
     own = table.column("array").to_numpy().astype(np.int64)
     second = table.column("second").to_numpy().astype(np.int64)
     row = table.column("row").to_numpy()
-    flat = lambda c: table.column(c).combine_chunks().flatten().to_numpy().reshape(-1, TAILS)
-    sig, far = flat("sig").astype(np.int64), flat("far").astype(np.int64)
-    w0, w1 = (table.column(c).to_numpy().view(np.uint64) for c in ("w0", "w1"))
-    del table
+    packed = table.column("code").combine_chunks()
+    packed = packed.chunk(0) if isinstance(packed, pa.ChunkedArray) else packed
+    width = TAILS * np.dtype(_sig_type(directions)).itemsize
+    size = width + TAILS + COUNTED // 8
+    raw = np.frombuffer(packed.buffers()[2], np.uint8)[packed.offset * size :][: len(own) * size].reshape(-1, size)
+    sig = np.ascontiguousarray(raw[:, :width]).view(_sig_type(directions)).astype(np.int64)
+    far = raw[:, width : width + TAILS].astype(np.int64)
+    words = np.ascontiguousarray(raw[:, width + TAILS :]).view(np.uint64)
+    del table, packed
     at_own = (sig == own[:, None]).argmax(1)
     here = far[np.arange(len(own)), at_own]
     keys, who, place = [], [], []
@@ -137,7 +148,7 @@ def _meeting(batches: Iterator[pa.RecordBatch], window: int, most_apart: int) ->
         if not len(p):
             break
         a, b = who[p], who[p + d]
-        apart = np.bitwise_count(w0[a] ^ w0[b]).astype(np.int64) + np.bitwise_count(w1[a] ^ w1[b])
+        apart = np.bitwise_count(words[a] ^ words[b]).sum(1, dtype=np.int64)
         near = np.flatnonzero((apart <= most_apart) & (row[a] != row[b]))
         if len(near):
             a, b, k = a[near], b[near], key[p[near]]
@@ -182,7 +193,7 @@ def similar_pairs(vectors: DataFrame, *, space: str, row: str, vec: str, dim: in
         reps = joined.where("rep IS NULL OR rep = row").drop("rep")
         copies = _bounded(sigs.select("space", "row", "ckey"), classes, ["space", "ckey"], "inner", n_classes).select("space", "rep", "row").distinct()
     # At most two arrays for each direction and space, whatever the rows: the counts are bounded.
-    entry = reps.select("space", "row", "sig", "far", "w0", "w1", F.explode(F.slice("sig", 1, TAILS - 1)).alias("array"))
+    entry = reps.select("space", "row", "sig", "code", F.explode(F.slice("sig", 1, TAILS - 1)).alias("array"))
     hot = entry.groupBy("space", "array").agg(F.count("*").alias("n")).where(F.col("n") > HOT_ROWS).select("space", "array", F.lit(True).alias("hot"))
     hot = cut_table(hot)
     if hot.count():
@@ -192,9 +203,9 @@ def similar_pairs(vectors: DataFrame, *, space: str, row: str, vec: str, dim: in
     else:
         entry = entry.withColumn("second", F.lit(-1))
     angle = math.acos(at_least) / math.pi
-    most_apart = math.ceil(COUNTED * angle + 5.0 * math.sqrt(COUNTED * angle * (1 - angle)))
+    most_apart = math.ceil(COUNTED * angle + SPARE * math.sqrt(COUNTED * angle * (1 - angle)))
     window = math.ceil(_STEPS * 3.2 * math.sqrt(2 - 2 * at_least))
-    meet = entry.repartition("space", "array", "second").mapInArrow(lambda it: _meeting(it, window, most_apart), "space string, a long, b long")
+    meet = entry.drop("sig").repartition("space", "array", "second").mapInArrow(lambda it: _meeting(it, directions, window, most_apart), "space string, a long, b long")
     pairs = cut_table(meet.distinct())
     ends = cut_table(pairs.select("space", F.explode(F.array("a", "b")).alias("row")).distinct())
     of = cut_table(_bounded(base, ends, ["space", "row"], "left_semi", ends.count()).dropDuplicates(["space", "row"]))
