@@ -60,7 +60,7 @@ def mix_sources(docs: DataFrame, targets: DataFrame, *, id: str, source: str, si
     share = {r["source"]: r["target_share"] / whole for r in live}
     room = {r["source"]: held[r["source"]] * r["max_repeats"] for r in live}
     budget = min((room[s] / share[s] for s in share), default=0.0) if total is None else float(total)
-    goal = {s: min(share[s] * budget, room[s]) for s in share}
+    goal = {s: float(min(share[s] * budget, room[s])) for s in share}
     session = docs.sparkSession
     caps = session.createDataFrame([(r["source"], r["max_repeats"], goal[r["source"]]) for r in live], "source string, cap int, goal double")
     uniform = (F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)

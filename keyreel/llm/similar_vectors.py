@@ -231,54 +231,108 @@ def similar_neighbours(vectors: DataFrame, *, space: str, row: str, vec: str, di
     return ranked.where(F.col("place") <= k)
 
 
-#: Vectors in a block of the exhaustive last level.
-BLOCK = 4096
+#: Vectors and queries in a block of the exhaustive last level, and the parts over which the vectors of one query block are spread.
+BLOCK, ASKED_BLOCK, PARTS = 4096, 16_384, 12
 
 
-def nearest_of_queries(vectors: DataFrame, *, space: str, row: str, vec: str, dim: int, k: int, query: Column) -> DataFrame:
-    """(space, row, neighbour, sim, place): the ``k`` most similar vectors of each row for which ``query`` holds, without a radius.
-
-    This is the last level of the rehashing, where each window is a whole array and so every vector exceeds the threshold:
-    the query set is laid against all rows in blocks, by matrix product, and partial results of k rows per query and
-    block are merged. Exact up to single precision; ties go to the lower row. A row given twice counts once.
-    """
-    base = usable(vectors.where(F.col(space).isNotNull() & F.col(row).isNotNull()), vec, dim).select(F.col(space).cast("string").alias("space"), F.col(row).cast("long").alias("row"), F.col(vec).cast("array<float>").alias("vec"), query.alias("asked")).dropDuplicates(["space", "row"])
+def _pack(dim: int, size: int):
+    """Rows (space, block, rows, vecs) of up to ``size`` unit vectors of one space, from rows (space, row, vec)."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, n = TaskContext.get().partitionId() << 32, 0
+        held: dict[str, list[pa.RecordBatch]] = {}
+
+        def give(s: str, least: int) -> Iterator[pa.RecordBatch]:
+            nonlocal n
+            whole = pa.Table.from_batches(held.pop(s))
+            at = 0
+            while whole.num_rows - at >= least and at < whole.num_rows:
+                piece = whole.slice(at, size)
+                at += piece.num_rows
+                unit = _unit(piece.column(2).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
+                yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([part + n], pa.int64()), pa.array([piece.column(1).to_numpy().tobytes()]), pa.array([unit.tobytes()])], ["space", "block", "rows", "vecs"])
+                n += 1
+            if at < whole.num_rows:
+                held[s] = whole.slice(at).to_batches()
+
         for batch in batches:
             for s in pa.compute.unique(batch.column(0)).to_pylist():
-                own = batch.filter(pa.compute.equal(batch.column(0), s))
-                for lo in range(0, own.num_rows, BLOCK):
-                    piece = own.slice(lo, BLOCK)
-                    unit = _unit(piece.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
-                    yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([part + n], pa.int64()), pa.array([piece.column(1).to_numpy().tobytes()]), pa.array([unit.tobytes()])], ["space", "block", "rows", "vecs"])
-                    n += 1
+                held.setdefault(s, []).append(batch.filter(pa.compute.equal(batch.column(0), s)))
+                yield from give(s, size)
+        for s in list(held):
+            yield from give(s, 1)
+
+    return pack
 
-    schema = "space string, block long, rows binary, vecs binary"
-    base = cut_table(base)
-    blocks = cut_table(base.select("space", "row", "vec").mapInArrow(pack, schema))
-    asked = cut_table(base.where("asked").select("space", "row", "vec").mapInArrow(pack, schema))
-    ids = asked.select("space", F.col("block").alias("asked_block"))
-    against = blocks.select("space", "block").join(ids, "space")
-    work = against.join(asked.select("space", F.col("block").alias("asked_block"), F.col("rows").alias("q_rows"), F.col("vecs").alias("q_vecs")), ["space", "asked_block"]).join(blocks, ["space", "block"])
+
+def _best(dim: int, k: int):
+    """Per query block the k best of the vector blocks that follow it in a sorted partition, kept while they stream by."""
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, qr, q, sim, near = None, None, None, None, None
+
+        def told() -> Iterator[pa.RecordBatch]:
+            if own is None:
+                return
+            got = sim > -2
+            yield pa.RecordBatch.from_arrays([pa.array([own[0]] * int(got.sum()), pa.string()), pa.array(np.repeat(qr, got.sum(1))), pa.array(near[got]), pa.array(sim[got].astype(np.float64))], ["space", "row", "neighbour", "sim"])
+
         for batch in batches:
             for r in batch.to_pylist():
-                qr, vr = np.frombuffer(r["q_rows"], np.int64), np.frombuffer(r["rows"], np.int64)
-                q, v = (np.frombuffer(r[c], np.float32).reshape(-1, dim) for c in ("q_vecs", "vecs"))
-                for lo in range(0, len(q), 512):
-                    s = q[lo : lo + 512] @ v.T
-                    s[qr[lo : lo + 512, None] == vr[None, :]] = -2
-                    m = min(k, s.shape[1])
-                    top = np.argpartition(s, s.shape[1] - m, axis=1)[:, s.shape[1] - m :]
-                    sim = np.take_along_axis(s, top, 1)
-                    n = len(s)
-                    yield pa.RecordBatch.from_arrays([pa.array([r["space"]] * (n * m)), pa.array(np.repeat(qr[lo : lo + 512], m)), pa.array(vr[top].ravel()), pa.array(sim.ravel().astype(np.float64))], ["space", "row", "neighbour", "sim"])
-
-    found = work.select("space", "q_rows", "q_vecs", "rows", "vecs").mapInArrow(best, "space string, row long, neighbour long, sim double").where("sim > -2")
+                rows, vecs = np.frombuffer(r["rows"], np.int64), np.frombuffer(r["vecs"], np.float32).reshape(-1, dim)
+                key = (r["space"], r["asked_block"], r["part"])
+                if not r["is_vector"]:
+                    yield from told()
+                    own, qr, q = key, rows, vecs
+                    sim, near = np.full((len(q), k), -2.0, np.float32), np.zeros((len(q), k), np.int64)
+                    continue
+                if key != own:
+                    continue
+                for lo in range(0, len(q), 1024):
+                    s = q[lo : lo + 1024] @ vecs.T
+                    s[qr[lo : lo + 1024, None] == rows[None, :]] = -2
+                    # Only queries for which some vector of the block beats their k-th so far are looked at.
+                    ahead = np.flatnonzero(s.max(1) > sim[lo : lo + 1024].min(1))
+                    if not len(ahead):
+                        continue
+                    both = np.concatenate((sim[lo + ahead], s[ahead]), axis=1)
+                    names = np.concatenate((near[lo + ahead], np.broadcast_to(rows, (len(ahead), len(rows)))), axis=1)
+                    top = np.argpartition(both, both.shape[1] - k, axis=1)[:, both.shape[1] - k :]
+                    sim[lo + ahead], near[lo + ahead] = np.take_along_axis(both, top, 1), np.take_along_axis(names, top, 1)
+        yield from told()
+
+    return best
+
+
+def nearest_of_queries(vectors: DataFrame, *, space: str, row: str, vec: str, dim: int, k: int, query: Column) -> DataFrame:
+    """(space, row, neighbour, sim, place): the ``k`` most similar vectors of each row for which ``query`` holds, without a radius.
+
+    This is the last level of the rehashing, where each window is a whole array and so every vector exceeds the threshold:
+    the query set is laid against all rows in blocks, by matrix product. A block of queries meets the vectors in ``PARTS``
+    tasks, each of which keeps k rows per query while its vectors stream by; only these are merged. Exact up to single
+    precision; ties go to the lower row where they are told apart. A row given twice counts once.
+    """
+    base = usable(vectors.where(F.col(space).isNotNull() & F.col(row).isNotNull()), vec, dim).select(F.col(space).cast("string").alias("space"), F.col(row).cast("long").alias("row"), F.col(vec).cast("array<float>").alias("vec"), query.alias("asked"))
+    base = cut_table(base.dropDuplicates(["space", "row"]))
+    schema = "space string, block long, rows binary, vecs binary"
+    blocks = base.select("space", "row", "vec").mapInArrow(_pack(dim, BLOCK), schema)
+    # Queries are brought together per space, in as many tasks as make blocks of full size.
+    n_asked = base.where("asked").count()
+    few = base.where("asked").select("space", "row", "vec").repartition(max(1, min(200, n_asked // ASKED_BLOCK + 1)), "space", F.pmod(F.xxhash64("row"), F.lit(max(1, n_asked // (4 * ASKED_BLOCK)))))
+    asked = cut_table(few.mapInArrow(_pack(dim, ASKED_BLOCK), schema))
+    ids = asked.select("space", F.col("block").alias("asked_block"))
+    cols = ["space", "asked_block", "part", "is_vector", "rows", "vecs"]
+    parts = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part")
+    theirs = asked.select("space", F.col("block").alias("asked_block"), F.lit(False).alias("is_vector"), "rows", "vecs", parts).select(*cols)
+    ours = blocks.join(_small(ids), "space").withColumn("part", F.pmod(F.xxhash64("block"), F.lit(PARTS)).cast("int")).withColumn("is_vector", F.lit(True)).select(*cols)
+    work = theirs.unionByName(ours).repartition("space", "asked_block", "part").sortWithinPartitions("space", "asked_block", "part", "is_vector")
+    found = work.mapInArrow(_best(dim, k), "space string, row long, neighbour long, sim double")
     ranked = found.withColumn("place", F.row_number().over(W.partitionBy("space", "row").orderBy(F.desc("sim"), "neighbour")))
     return ranked.where(F.col("place") <= k)
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A table that is broadcast where its count allows it."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
