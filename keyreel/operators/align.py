@@ -54,9 +54,9 @@ def adaptive_penalty(frames: Column, events: int) -> Column:
 def lattice(scores: DataFrame, *, by: list[str], event: str, frame: str, score: str, pos: str, top_k: int = 5, radius: int = 1) -> DataFrame:
     """(by, event, frame, kind): the ``top_k`` frames of each event ('seed') and the frames within ``radius`` places ('neighbor')."""
     r = F.row_number().over(W.partitionBy(*by, event).orderBy(F.desc(score), frame))
-    seed = scores.withColumn("_r", r).where(F.col("_r") <= top_k).select(*by, event, F.explode(F.sequence(F.col(pos) - radius, F.col(pos) + radius)).alias("_p"), F.col(pos).alias("_s"))
+    seed = scores.withColumn("_r", r).where(F.col("_r") <= top_k).select(*by, event, F.col(pos).alias("_s"), F.explode(F.sequence(F.col(pos) - radius, F.col(pos) + radius)).alias("_p"))
     near = seed.groupBy(*by, event, "_p").agg(F.max((F.col("_p") == F.col("_s")).cast("int")).alias("_own"))
-    return scores.join(near, (scores[pos] == near["_p"]) & (scores[event] == near[event]) & F.lit(True) if not by else [scores[c] == near[c] for c in [*by, event]] + [scores[pos] == near["_p"]]).select(*(scores[c] for c in [*by, event, frame, score]), F.when(F.col("_own") == 1, "seed").otherwise("neighbor").alias("kind"))
+    return scores.join(near.withColumnRenamed("_p", pos), [*by, event, pos]).select(*by, event, frame, score, F.when(F.col("_own") == 1, "seed").otherwise("neighbor").alias("kind"))
 
 
 def shortlist(scores: DataFrame, *, by: list[str], video: str, event: str, score: str, k: int) -> DataFrame:

@@ -94,12 +94,12 @@ def consensus(frames: DataFrame, *, by: list[str], order: list[str], score: str,
     return frames.withColumn("consensus", (1 - weight) * F.col(score) + weight * F.coalesce(near, F.col(score)))
 
 
-def around_peaks(frames: DataFrame, *, by: list[str], time: str, score: str, id: str, peaks: int = 2, radius: float = 3.0, k: int = 5) -> DataFrame:
+def around_peaks(frames: DataFrame, *, by: list[str], time: str, score: str, id: str, peaks: int = 2, radius: int = 3, k: int = 5) -> DataFrame:
     """Frames within ``radius`` seconds of the best ``peaks``; 0.7 * own + 0.3 * best within the radius; the ``k`` best."""
     r = F.row_number().over(W.partitionBy(*by).orderBy(F.desc(score), id))
     top = frames.withColumn("_r", r).where(F.col("_r") <= peaks).select(*by, F.col(time).alias("_peak"))
     near = frames.join(top, by).where(F.abs(F.col(time) - F.col("_peak")) <= radius).drop("_peak").distinct()
-    local = F.max(score).over(W.partitionBy(*by).orderBy(time).rangeBetween(-radius, radius))
+    local = F.max(score).over(W.partitionBy(*by).orderBy(F.col(time).cast("double")).rangeBetween(-int(radius), int(radius)))
     out = near.withColumn("blended", 0.7 * F.col(score) + 0.3 * local)
     return out.withColumn("place", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("blended"), id))).where(F.col("place") <= k)
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyreel.plans import integrity, retrieval
+from keyreel.plans import integrity, lexicon, retrieval, timeline
 
-MODULES = (retrieval, integrity)
+MODULES = (retrieval, lexicon, timeline, integrity)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -19,7 +19,7 @@ MOST_QUERIES = 5_000
 
 def whole_frame(c: Column) -> Column:
     """A frame number given as text or number: a whole one that isn't negative, else null."""
-    d = c.cast("double")
+    d = c.cast("string").try_cast("double")
     return F.when((d >= 0) & (d == F.floor(d)) & (d < float("inf")) & ~c.cast("string").rlike("(?i)true|false"), d.cast("long"))
 
 
