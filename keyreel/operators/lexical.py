@@ -78,23 +78,19 @@ def _longest_run(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="int64")
 
 
-def quote_score(anchor: Column, document: Column) -> Column:
-    """1.0 where the document's token string contains the anchor's; else the larger of multiset coverage and longest common run over the anchor's length."""
-    a, d = tokens(anchor), tokens(document)
-    phrase = F.instr(F.array_join(d, " "), F.array_join(a, " ")) > 0
-    count = lambda arr, t: F.size(F.filter(arr, lambda x: x == t))
-    covered = F.aggregate(F.array_distinct(a), F.lit(0), lambda s, t: s + F.least(count(a, t), count(d, t)))
-    run = F.pandas_udf(_longest_run, "long")(a, d)
-    n = F.size(a)
-    return F.when(n == 0, 0.0).when(phrase, 1.0).otherwise(F.greatest(covered / n, run / n))
+def longest_run(anchor: Column, document: Column) -> Column:
+    """Length of the longest common contiguous run of two token arrays."""
+    return F.pandas_udf(_longest_run, "long")(anchor, document)
 
 
-def quote_coverage(anchor: Column, document: Column) -> Column:
-    """The part of ``quote_score`` that needs no Python: containment, else multiset coverage."""
-    a, d = tokens(anchor), tokens(document)
+def quote_score(a: Column, d: Column) -> Column:
+    """Of the token arrays of an anchor and a document: 1 where the document's token string contains the anchor's, else the share of
+    the anchor's tokens (as a multiset) that the document has. A common run is never longer than what is covered, so it needs no
+    term of its own. Give columns that already hold the tokens: both sides are then tokenised once, before they are joined."""
     count = lambda arr, t: F.size(F.filter(arr, lambda x: x == t))
     covered = F.aggregate(F.array_distinct(a), F.lit(0), lambda s, t: s + F.least(count(a, t), count(d, t)))
-    return F.when(F.size(a) == 0, 0.0).when(F.instr(F.array_join(d, " "), F.array_join(a, " ")) > 0, 1.0).otherwise(covered / F.size(a))
+    phrase = F.instr(F.array_join(d, " "), F.array_join(a, " ")) > 0
+    return F.when((F.size(a) == 0) | ~F.arrays_overlap(a, d), F.when((F.size(a) > 0) & phrase, 1.0).otherwise(0.0)).when(phrase, 1.0).otherwise(covered / F.size(a))
 
 
 def multi_view(ranked: DataFrame, *, k: int, rrf_k: int = 60, lexical_weight: float = 1.25) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -135,20 +137,37 @@ def is_ordered(times: Column, strict: bool = True) -> Column:
     return F.forall(pairs, lambda x: x)
 
 
+def _stream_sorted(df: DataFrame, keys: list[str], order: list[str], step, schema: str) -> DataFrame:
+    """Rows hashed by ``keys`` and sorted by keys and order, handed to ``step`` batch by batch: a task holds a batch and a state, never a group."""
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(step, schema)
+
+
 def sample_by_interval(df: DataFrame, *, by: str, time: str, id: str, interval: float, most: int | None = None) -> DataFrame:
     """(by, id, time): a row is kept if it lies at least ``interval`` after the last kept one; then at most ``most`` evenly spaced.
 
-    The greedy walk needs a video's times in order, as one array of (time, id); wide columns are joined back by the caller.
+    The greedy walk streams through each timeline in order; its only state is the last kept time.
     """
-    got = df.where(F.col(time).isNotNull()).groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.col(id).alias("i")))).alias("x"))
-    empty = F.struct(F.lit(None).cast("double").alias("last"), F.slice("x", 1, 0).alias("kept"))
-    walk = F.aggregate("x", empty, lambda a, r: F.when(a["last"].isNull() | (r["t"] - a["last"] >= interval), F.struct(r["t"].alias("last"), F.concat(a["kept"], F.array(r)).alias("kept"))).otherwise(a))
-    kept = got.select(by, walk["kept"].alias("k"))
-    if most:
-        n = F.size("k")
-        at = F.when(n <= most, F.sequence(F.lit(0), n - 1)).otherwise(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.bround(i * (n - 1) / F.lit(max(most - 1, 1))).cast("int")))
-        kept = kept.select(by, F.transform(at, lambda i: F.get("k", i)).alias("k"))
-    return kept.select(by, F.explode("k").alias("r")).select(by, F.col("r.i").alias(id), F.col("r.t").alias(time))
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        who, last = None, None
+        for pdf in batches:
+            keep = []
+            for v, t in zip(pdf[by], pdf[time]):
+                if v != who:
+                    who, last = v, None
+                keep.append(last is None or t - last >= interval)
+                last = t if keep[-1] else last
+            yield pdf[keep]
+
+    types = dict(df.dtypes)
+    rows = df.where(F.col(time).isNotNull() & F.col(by).isNotNull()).select(by, id, F.col(time).cast("double").alias(time))
+    kept = _stream_sorted(rows, [by], [time, id], walk, f"{by} {types[by]}, {id} {types[id]}, {time} double")
+    if not most:
+        return kept
+    n, at = F.count("*").over(W.partitionBy(by)), F.row_number().over(W.partitionBy(by).orderBy(time, id)) - 1
+    kept = kept.withColumn("_n", n).withColumn("_at", at)
+    places = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.bround(i * (F.col("_n") - 1) / F.lit(max(most - 1, 1))).cast("int"))
+    return kept.where((F.col("_n") <= most) | F.array_contains(places, F.col("_at"))).drop("_n", "_at")
 
 
 def peaks(df: DataFrame, *, by: list[str], kf: str, time: str, score: str, most: int = 5, gap_kf: int = 3, gap_s: float = 2.0) -> DataFrame:
@@ -180,28 +199,43 @@ def word_windows(words: DataFrame, *, by: str, word: str, start: str, end: str,
     """(by, chunk, start, end, text): words gathered until the next would pass ``target`` seconds or lies behind a ``gap``; a window may end at a
     sentence end once it has ``least`` seconds; the next begins at the first word at or after the end less the ``overlap``."""
 
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([start, end])
-        w, a, b = pdf[word].tolist(), pdf[start].tolist(), pdf[end].tolist()
-        out, i = [], 0
+    def close(w: list, a: list, b: list) -> Iterator[tuple]:
+        i = 0
         while i < len(w):
             j = i
-            while j + 1 < len(w) and b[j + 1] - a[i] <= target and a[j + 1] - b[j] <= gap and not (b[j] - a[i] >= least and str(w[j])[-1:] in ".!?…"):
+            while j + 1 < len(w) and b[j + 1] - a[i] <= target and not (b[j] - a[i] >= least and str(w[j])[-1:] in ".!?…"):
                 j += 1
-            out.append((pdf[by].iloc[0], len(out), a[i], b[j], " ".join(map(str, w[i : j + 1]))))
+            yield a[i], b[j], " ".join(map(str, w[i : j + 1]))
             if j + 1 >= len(w):
-                break
-            back = next((n for n in range(i + 1, j + 1) if a[n] >= b[j] - overlap), j + 1) if a[j + 1] - b[j] <= gap else j + 1
-            i = back
-        return pd.DataFrame(out, columns=[by, "chunk", start, end, "text"])
+                return
+            i = next((n for n in range(i + 1, j + 1) if a[n] >= b[j] - overlap), j + 1)
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        who, w, a, b = None, [], [], []
+        for pdf in batches:
+            out = []
+            for v, x, s, e in zip(pdf[by], pdf[word], pdf[start], pdf[end]):
+                # No window reaches over a gap, so what lies between two gaps is done with at once.
+                if w and (v != who or s - b[-1] > gap):
+                    out += [(who, *r) for r in close(w, a, b)]
+                    w, a, b = [], [], []
+                who = v
+                w.append(x)
+                a.append(s)
+                b.append(e)
+                if len(w) >= 4096:  # a long stretch: all but its last window are final
+                    *done, _ = close(w, a, b)
+                    out += [(who, *r) for r in done[:-1]]
+                    cut = next(n for n in range(len(a)) if a[n] >= done[-1][0])
+                    w, a, b = w[cut:], a[cut:], b[cut:]
+            yield pd.DataFrame(out, columns=[by, start, end, "text"])
+        if w:
+            yield pd.DataFrame([(who, *r) for r in close(w, a, b)], columns=[by, start, end, "text"])
 
     kind = dict(words.dtypes)[by]
-    rows = words.where(F.col(start).isNotNull() & (F.col(end) >= F.col(start)) & F.col(word).isNotNull()).select(by, word, start, end)
-    # No window reaches over a gap: what lies between two gaps is a group of its own, so a long stream is many groups.
-    w = W.partitionBy(by).orderBy(start, end)
-    rows = rows.withColumn("_new", F.when(F.col(start) - F.lag(end).over(w) > gap, 1).otherwise(0)).withColumn("_part", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    cut_rows = rows.groupBy(by, "_part").applyInPandas(cut, f"{by} {kind}, chunk int, {start} double, {end} double, text string")
-    return cut_rows.withColumn("chunk", F.row_number().over(W.partitionBy(by).orderBy(start, "chunk")) - 1)
+    rows = words.where(F.col(by).isNotNull() & F.col(start).isNotNull() & (F.col(end) >= F.col(start)) & F.col(word).isNotNull()).select(by, word, start, end)
+    out = _stream_sorted(rows, [by], [start, end], walk, f"{by} {kind}, {start} double, {end} double, text string")
+    return out.withColumn("chunk", F.row_number().over(W.partitionBy(by).orderBy(start, end)) - 1)
 
 
 def provider_words(payload: DataFrame, *, id: str, json: str) -> DataFrame:

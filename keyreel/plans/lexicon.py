@@ -51,16 +51,21 @@ def multiview_rrf(spark: SparkSession, d: str) -> DataFrame:
     return out.select("query", "doc", F.round("rrf", 6).alias("rrf"), "rank")
 
 
+def _quotes(spark: SparkSession, d: str) -> DataFrame:
+    """(query, embedding_row, a, d): token arrays of every text and every quote, each tokenised once."""
+    s = speech(spark, d).where("text IS NOT NULL").select("embedding_row", T.tokens("text").alias("d"))
+    return s.join(F.broadcast(_asked(spark).select("query", T.tokens("asked").alias("a"))))
+
+
 def quote_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Texts that hold at least eight tenths of a quote."""
-    s = speech(spark, d).where("text IS NOT NULL").join(F.broadcast(_asked(spark)))
-    return s.select("query", "embedding_row", F.round(lexical.quote_coverage(F.col("asked"), F.col("text")), 6).alias("score")).where("score >= 0.8")
+    return _quotes(spark, d).select("query", "embedding_row", F.round(lexical.quote_score(F.col("a"), F.col("d")), 6).alias("score")).where("score >= 0.8")
 
 
 def quote_match(spark: SparkSession, d: str) -> DataFrame:
-    """As quote_coverage, with the longest common run."""
-    s = speech(spark, d).where("text IS NOT NULL").join(F.broadcast(_asked(spark)))
-    return s.select("query", "embedding_row", F.round(lexical.quote_score(F.col("asked"), F.col("text")), 6).alias("score")).where("score >= 0.5")
+    """Texts that hold at least half of a quote, with their longest common run."""
+    q = _quotes(spark, d).withColumn("score", F.round(lexical.quote_score(F.col("a"), F.col("d")), 6)).where("score >= 0.5")
+    return q.select("query", "embedding_row", "score", lexical.longest_run(F.col("a"), F.col("d")).alias("run"))
 
 
 def asr_search(spark: SparkSession, d: str) -> DataFrame:

@@ -106,7 +106,8 @@ def test_bm25_counts_empty_documents(spark):
 
 def test_quote_score(spark):
     df = spark.createDataFrame([("cầu vượt", "trên CẦU VƯỢT mới"), ("a b c d", "x b c y"), ("", "x")], "a string, d string")
-    assert [r[0] for r in df.select(lexical.quote_score(F.col("a"), F.col("d"))).collect()] == [1.0, 0.5, 0.0]
+    df = df.select(T.tokens("a").alias("a"), T.tokens("d").alias("d"))
+    assert [r[:] for r in df.select(lexical.quote_score(F.col("a"), F.col("d")), lexical.longest_run(F.col("a"), F.col("d"))).collect()] == [(1.0, 2), (0.5, 2), (0.0, 0)]
 
 
 def test_repeated_hits_use_up_ranks(spark):
@@ -198,6 +199,9 @@ def test_word_windows_overlap_and_break_at_gaps(spark):
     got = [(r["s"], r["e"]) for r in temporal.word_windows(w, by="v", word="w", start="s", end="e").orderBy("chunk").collect()]
     assert got[0] == (0.0, 7.9) and got[1][0] <= 7.0 and got[-1] == (60.0, 61.0)
     assert all(e - s <= 8 for s, e in got)
+    long = spark.createDataFrame([("v", f"w{i}", i * 0.5, i * 0.5 + 0.4) for i in range(9000)], "v string, w string, s double, e double")
+    many = [(r["s"], r["e"]) for r in temporal.word_windows(long, by="v", word="w", start="s", end="e").orderBy("chunk").collect()]
+    assert all(b[0] - a[0] == pytest.approx(many[1][0] - many[0][0]) for a, b in zip(many, many[1:-1])) and many[-1][1] == 4499.9
 
 
 def test_relation_is_ambiguous_on_ties(spark):
