@@ -73,3 +73,20 @@ def score_all(items: DataFrame, queries: DataFrame, *, vec: str, query_id: str,
         raise ValueError(f"more than {MOST_QUERIES} queries: score them in parts")
     q = queries.select(F.col(query_id).alias("query"), F.col(query_vec).alias("_qv"))
     return items.join(F.broadcast(q)).withColumn("score", dot(F.col(vec), F.col("_qv"))).drop("_qv")
+
+
+def per_video(scored: DataFrame, *, video: str, frame: str, k: int, score: str = "score") -> DataFrame:
+    """The ``k`` best frames of every (query, video), ties by frame."""
+    return scored.withColumn("place", F.row_number().over(W.partitionBy("query", video).orderBy(F.desc(score), frame))).where(F.col("place") <= k)
+
+
+def clip_scores(scored: DataFrame, *, video: str, frame: str, order: str, alpha: float = 0.5, shortlist: int = 20) -> DataFrame:
+    """(video, frame, top3, best, smooth5, hybrid) of a clip's frames as queries: mean of the three best queries, best query, the best smoothed over five
+    places with the edge values repeated, and their blend; only in the ``shortlist`` videos with the largest top3."""
+    from keyreel.operators.temporal import smooth
+
+    got = scored.groupBy(video, frame, order).agg(F.slice(F.sort_array(F.collect_list("score"), asc=False), 1, 3).alias("_x"))
+    got = got.select(video, frame, order, (F.aggregate("_x", F.lit(0.0), lambda a, x: a + x) / F.size("_x")).alias("top3"), F.get("_x", F.lit(0)).alias("best"))
+    keep = got.groupBy(video).agg(F.max("top3").alias("m")).orderBy(F.desc(F.round("m", 9)), video).limit(shortlist)
+    out = smooth(got.join(F.broadcast(keep.select(video)), video, "left_semi"), by=[video], order=[order, frame], value="best", width=5)
+    return out.select(video, frame, "top3", "best", F.col("smoothed").alias("smooth5"), (alpha * F.col("top3") + (1 - alpha) * F.col("smoothed")).alias("hybrid"))

@@ -112,3 +112,51 @@ def role_rows(rows: DataFrame, anchors: DataFrame, *, on: str, query: str) -> Da
 def decide(required_hit: Column, available: Column, baseline: Column) -> Column:
     """State of a specialist flow: success, no_hit, degraded or failed."""
     return F.when(available & required_hit, "success").when(available, "no_hit").when(baseline, "degraded").otherwise("failed")
+
+
+def select_at_anchors(anchors: DataFrame, rows: DataFrame, *, anchor: str, on: str, times: str, query: str, start: str, end: str, text: str, row: str, within: float, limit: int) -> DataFrame:
+    """Rows chosen around each of several times of an anchor, united, repeats of (start, end, text) dropped, the ``limit`` first in time."""
+    each = anchors.select(anchor, on, query, F.posexplode(F.array_distinct(times)).alias("_i", "_t")).withColumn("_a", F.struct(anchor, "_i"))
+    got = select_rows(each, rows, anchor="_a", on=on, time="_t", query=query, start=start, end=end, text=text, row=row, within=within, limit=limit)
+    once = got.groupBy(F.col(f"_a.{anchor}").alias(anchor), start, end, text).agg(F.min(row).alias(row))
+    return once.withColumn("place", F.row_number().over(W.partitionBy(anchor).orderBy(start, text, row))).where(F.col("place") <= limit)
+
+
+def best_claim_rows(scored: DataFrame, *, by: list[str], row: str) -> DataFrame:
+    """Per claim and modality the row with the highest score that reaches the claim's threshold, ties to the lower row."""
+    ok = scored.where("score >= threshold")
+    return ok.groupBy(*by).agg(F.max(F.struct("score", (-F.col(row)).alias("o"))).alias("b")).select(*by, F.col("b.score").alias("score"), (-F.col("b.o")).alias(row))
+
+
+def verify_claims(answers: DataFrame, claims_met: DataFrame, evidence: DataFrame, *, id: str, answer: str) -> DataFrame:
+    """(id, verdict): claims_open, answer_unsupported (no row beside the claims' own speaks for it) or verified. ``claims_met``: (id, met); ``evidence``: (id, text, is_claim)."""
+    s = evidence.join(answers.select(id, answer), id).withColumn("s", F.when(~F.col("is_claim"), answer_score(F.col(answer), F.col("text"))).otherwise(0.0)).groupBy(id).agg(F.max("s").alias("s"))
+    open_ = claims_met.groupBy(id).agg(F.bool_and("met").alias("met"))
+    j = answers.join(open_, id, "left").join(s, id, "left")
+    return j.select(id, F.when(~F.coalesce("met", F.lit(True)), "claims_open").when(F.coalesce("s", F.lit(0.0)) == 0, "answer_unsupported").otherwise("verified").alias("verdict"))
+
+
+def context_support(clusters: DataFrame, rows: DataFrame, *, on: str, cluster: str, first: str, last: str, query: str) -> DataFrame:
+    """(cluster, support): the best row (pts_time, text, kf_n) within 60 s before or after: direction * (.65 word coverage + .35 nearness), after counts .92."""
+    r = rows.withColumn("_e", F.col("pts_time"))
+    near = range_join(r, clusters, on=on, time="pts_time", start=first, end=last, within=60.0).where((F.col("pts_time") < F.col(first)) | (F.col("pts_time") > F.col(last)))
+    want = F.array_distinct(tokens(query))
+    cover = F.size(F.array_intersect(want, F.array_distinct(tokens("text")))) / F.greatest(F.size(want), F.lit(1))
+    before = F.col("pts_time") < F.col(first)
+    gap = F.when(before, F.col(first) - F.col("pts_time")).otherwise(F.col("pts_time") - F.col(last))
+    return near.withColumn("_s", F.when(before, 1.0).otherwise(0.92) * (0.65 * cover + 0.35 * (1 - gap / 60))).groupBy(cluster).agg(F.max("_s").alias("support"))
+
+
+def verse_events(rows: DataFrame, context: DataFrame, *, query: Column, gap: float = 15.0, per_video: int = 4) -> DataFrame:
+    """Clusters of at least two short verse-like lines (video_id, pts_time, text, kf_n) with words of the query near them: score .55 verse, .20 size, .15 density, .10 context."""
+    from keyreel.operators.temporal import density, sessions
+
+    words = F.size(tokens("text"))
+    verse = F.when(words.between(4, 10) & ~F.col("text").rlike("\\d"), 1.0).when(words.between(3, 12), 0.5).otherwise(0.0)
+    lines = rows.where(F.col("pts_time").isNotNull() & F.col("video_id").isNotNull()).withColumn("verse", verse).where("verse > 0")
+    c = sessions(lines, by="video_id", time="pts_time", order=["kf_n"], gap=gap).withColumn("cluster", F.concat_ws("#", "video_id", "session"))
+    size = c.groupBy("video_id", "cluster").agg(F.count("*").alias("n"), F.avg("verse").alias("verse"), F.min("pts_time").alias("first"), F.max("pts_time").alias("last")).where("n >= 2")
+    near = context_support(size.withColumn("_q", query), context, on="video_id", cluster="cluster", first="first", last="last", query="_q")
+    j = size.join(density(c, by=["cluster"], time="pts_time", gap=gap), "cluster").join(near, "cluster", "left").withColumn("support", F.coalesce("support", F.lit(0.0)))
+    scored = j.withColumn("score", 0.55 * F.col("verse") + 0.20 * F.least(F.lit(1.0), F.col("n") / 4.0) + 0.15 * F.col("density") + 0.10 * F.col("support"))
+    return scored.withColumn("place", F.row_number().over(W.partitionBy("video_id").orderBy(F.desc(F.round("score", 9)), "first"))).where(F.col("place") <= per_video)

@@ -173,3 +173,24 @@ def eligible_evidence(score: Column, floor: float, fields: list[Column]) -> Colu
     """A finite score of at least the floor, and some field that isn't blank."""
     said = F.exists(F.array(*[F.coalesce(F.trim(f.cast("string")), F.lit("")) for f in fields]), lambda x: x != "")
     return F.coalesce((score >= floor) & ~F.isnan(score) & said, F.lit(False))
+
+
+def expand(candidates: DataFrame, neighbours: DataFrame, *, item: str, score: str, most: int | None = None) -> DataFrame:
+    """Candidates united with their neighbours (query, item, score, ...), then one row per frame."""
+    out = dedupe(candidates.unionByName(neighbours, allowMissingColumns=True), score=score, item=item)
+    return select_top(out, most, score=score, item=item) if most else out
+
+
+def dedupe_guarded(rows: DataFrame, *, key: list[str], order: list, place: list[str]) -> DataFrame:
+    """One row per key, the first in ``order``; keys whose rows disagree on ``place`` are dropped altogether."""
+    agree = rows.groupBy(*key).agg(F.countDistinct(F.struct(*place)).alias("_n")).where("_n = 1").drop("_n")
+    best = rows.withColumn("_r", F.row_number().over(W.partitionBy(*key).orderBy(*order))).where("_r = 1").drop("_r")
+    return best.join(agree, key, "left_semi")
+
+
+def reroute(fused: DataFrame, third: DataFrame, *, video: str, score: str, margin: float = 0.05) -> DataFrame:
+    """Queries whose first two videos lie within ``margin`` take the third model's scores, the others keep the fused ones; ranked again."""
+    close = fused.where((F.col("rank") == 1) & (F.col("margin") < margin)).select("query")
+    kept = fused.join(close, "query", "left_anti").select("query", video, F.col("fused").alias("score"), F.lit("fused").alias("route"))
+    other = third.join(close, "query", "left_semi").select("query", video, F.col(score).alias("score"), F.lit("third").alias("route"))
+    return kept.unionByName(other).withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc(F.round("score", 9)), video)))

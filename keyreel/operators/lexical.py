@@ -98,3 +98,13 @@ def multi_view(ranked: DataFrame, *, k: int, rrf_k: int = 60, lexical_weight: fl
     w = F.when(F.col("kind") == "lexical", lexical_weight).otherwise(1.0) / (rrf_k + F.col("rank"))
     fused = ranked.groupBy("query", "doc").agg(F.sum(w).alias("rrf"), F.array_sort(F.collect_list(F.struct("view", "kind", "rank"))).alias("views"))
     return top_ranked(fused, k, by="query", score="rrf", id="doc")
+
+
+def localise(ranked: DataFrame, *, per_video: int = 3, rrf_k: int = 60, lexical_weight: float = 1.25, quote_weight: float = 0.25) -> DataFrame:
+    """Evidence inside shortlisted videos: rows (query, video_id, view, kind, doc, score, quote, pts_time, kf_n) ranked per (query, video, view, kind), fused, plus a
+    quarter of the best quote score; the ``per_video`` best of each video by score, time, keyframe."""
+    r = F.row_number().over(W.partitionBy("query", "video_id", "view", "kind").orderBy(F.desc("score"), "doc"))
+    w = F.when(F.col("kind") == "lexical", lexical_weight).otherwise(1.0)
+    fused = ranked.withColumn("_r", r).groupBy("query", "video_id", "doc", "pts_time", "kf_n").agg((F.sum(w / (rrf_k + F.col("_r"))) + quote_weight * F.coalesce(F.max("quote"), F.lit(0.0))).alias("score"))
+    place = F.row_number().over(W.partitionBy("query", "video_id").orderBy(F.desc(F.round("score", 9)), "pts_time", "kf_n", "doc"))
+    return fused.withColumn("place", place).where(F.col("place") <= per_video)

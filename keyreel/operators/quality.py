@@ -120,3 +120,30 @@ def identity_checksum(df: DataFrame, cols: list[str]) -> DataFrame:
     """(rows, checksum): an order-free checksum of the identities, summed without gathering them."""
     h = F.xxhash64(*cols).cast("decimal(38,0)")
     return df.agg(F.count("*").alias("rows"), F.sha2(F.coalesce(F.sum(h).cast("string"), F.lit("")), 256).alias("checksum"))
+
+
+def far_rows(rows: DataFrame, canonical: DataFrame, *, most: float = 10.0) -> DataFrame:
+    """Chunks whose nearest keyframe is farther than ``most`` seconds from their middle."""
+    from keyreel.operators.temporal import nearest_row
+
+    mid = rows.withColumn("_mid", (F.col("start") + F.col("end")) / 2)
+    near = nearest_row(mid, canonical.select("video_id", F.col("pts_time").alias("_c"), F.col("kf_n").alias("_k")), on="video_id", time="_mid", right_time="_c", payload=["_k"])
+    return near.where(F.col("distance") > most).drop("_mid", "near__k")
+
+
+def check(report: DataFrame, fatal: list[str]) -> None:
+    """Raise if a (code, n) report has any of the fatal codes; nothing is repaired."""
+    found = {r["code"]: r["n"] for r in report.where(F.col("code").isin(fatal) & (F.col("n") > 0)).collect()}
+    if found:
+        raise ValueError(f"data quality: {found}")
+
+
+def compatible(mine: dict, other: dict, names: tuple[str, ...] = ("dim", "metric", "normalised", "model")) -> list[str]:
+    """Names of model metadata in which two indexes differ."""
+    return [n for n in names if mine.get(n) != other.get(n)]
+
+
+def readiness(reports: dict[str, DataFrame], fatal: dict[str, list[str]]) -> DataFrame:
+    """(part, ready, problems) of several (code, n) reports."""
+    parts = [r.agg(F.coalesce(F.sum(F.when(F.col("code").isin(fatal.get(name, [])), F.col("n")).otherwise(0)), F.lit(0)).alias("problems")).select(F.lit(name).alias("part"), (F.col("problems") == 0).alias("ready"), "problems") for name, r in reports.items()]
+    return together(parts)

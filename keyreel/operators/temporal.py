@@ -250,3 +250,9 @@ def provider_utterances(payload: DataFrame, *, id: str, json: str) -> DataFrame:
     schema = "results struct<utterances: array<struct<transcript: string, start: double, `end`: double>>>"
     u = payload.select(id, F.explode(F.from_json(json, schema)["results"]["utterances"]).alias("u"))
     return u.select(id, F.col("u.transcript").alias("text"), "u.start", "u.end").where("text IS NOT NULL").dropDuplicates([id, "start", "end", "text"])
+
+
+def best_in_reach(frames: DataFrame, scored: DataFrame, *, on: str, frame: str, time: str, start: str, end: str, score: str, within: float = 60.0) -> DataFrame:
+    """(frame, score): the best score of the intervals within reach of every frame, 0 where there are none."""
+    got = range_join(frames.select(on, frame, time), scored, on=on, time=time, start=start, end=end, within=within).groupBy(frame).agg(F.max(score).alias(score))
+    return frames.select(frame).distinct().join(got, frame, "left").withColumn(score, F.coalesce(score, F.lit(0.0)))

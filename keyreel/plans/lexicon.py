@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keyreel.functions import text as T
-from keyreel.operators import evaluate, evidence, lexical
+from keyreel.operators import evaluate, evidence, lexical, temporal
 from keyreel.plans.base import CANON, HITS, SCREEN, SPEECH, canonical, fold_sql, hits, screen, speech, tokens_sql
 from keyreel.session import table
 from keyreel.sources import submission
@@ -170,6 +170,35 @@ def submission_json(spark: SparkSession, d: str) -> DataFrame:
     return submission.as_json(submission_rows(spark, d), ["video_id", "frame_idx"])
 
 
+def localised_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Three speech rows per query and video, ranked by BM25 and by coverage inside each video and fused."""
+    s = lexical.bm25(speech(spark, d), _asked(spark), doc_id="embedding_row", doc_text="text", query_id="query", query_text="asked")
+    s = s.join(speech(spark, d).select(F.col("embedding_row").alias("doc"), "video_id", "pts_time", "kf_n"), "doc").where("video_id IS NOT NULL")
+    views = F.explode(F.array(F.struct(F.lit("bm25").alias("view"), F.lit("dense").alias("kind"), F.round("bm25", 6).alias("score")), F.struct(F.lit("coverage").alias("view"), F.lit("lexical").alias("kind"), F.round("coverage", 6).alias("score"))))
+    rows = s.select("query", "video_id", "doc", "pts_time", "kf_n", views.alias("v"), F.lit(0.0).alias("quote")).select("query", "video_id", "doc", "pts_time", "kf_n", "v.*", "quote")
+    return lexical.localise(rows).select("query", "video_id", "doc", F.round("score", 6).alias("score"), "place")
+
+
+def local_speech_score(spark: SparkSession, d: str) -> DataFrame:
+    """Best length of a chunk within 60 seconds of every hundredth keyframe, 0 without one."""
+    f = canonical(spark, d).where("pts_time IS NOT NULL AND kf_n % 100 = 3")
+    s = speech(spark, d).where("text IS NOT NULL").select("video_id", "start", "end", F.length("text").cast("double").alias("score"))
+    return temporal.best_in_reach(f, s, on="video_id", frame="g", time="pts_time", start="start", end="end", score="score")
+
+
+def verse_events(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters of verse-like screen lines with words of a query near them."""
+    rows = screen(spark, d).where("ocr_text IS NOT NULL").select("video_id", "pts_time", "kf_n", F.col("ocr_text").alias("text"))
+    context = speech(spark, d).where("text IS NOT NULL AND video_id IS NOT NULL AND pts_time IS NOT NULL").select("video_id", "pts_time", "kf_n", "text")
+    return evidence.verse_events(rows, context, query=F.lit(ASKED[1])).select("video_id", "cluster", "n", F.round("score", 6).alias("score"), "place")
+
+
+def repaired_text(spark: SparkSession, d: str) -> DataFrame:
+    """Screen texts that a plain repair of wrong decodings changes."""
+    s = screen(spark, d).where("ocr_text IS NOT NULL").select("embedding_row", "ocr_text", T.repair_mojibake("ocr_text").alias("repaired"))
+    return s.where("repaired <> ocr_text").select("embedding_row", "repaired")
+
+
 _IDX = f"""t AS (SELECT embedding_row AS doc, @tok AS toks FROM @src), p AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(toks) AS term FROM t) GROUP BY ALL), st AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM t),
 q AS (SELECT query, term, count(*) AS qtf FROM (SELECT query, unnest({tokens_sql('asked')}) AS term FROM asked) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
 w AS (SELECT query, term, qtf, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf, avgdl FROM q JOIN df USING (term), st),
@@ -180,7 +209,7 @@ _SCREEN_IDX = f"{SCREEN}, {_ASKED}, " + _IDX.replace("@tok", tokens_sql("ocr_tex
 _BM = f"{_SPEECH_IDX}, b AS (SELECT query, doc, round(bm25, 6) AS bm25, round(coverage, 6) AS coverage FROM sc), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY bm25 DESC, doc) AS rank FROM b)"
 _FIRST = f"{HITS}, c AS (SELECT query_id, video_id, count(*) AS n FROM hits GROUP BY ALL), tr AS (SELECT query_id, arg_max(video_id, (n, video_id)) AS truth FROM c GROUP BY query_id), f AS (SELECT query_id, channel, min(CASE WHEN video_id = truth THEN rank END) AS rank FROM hits JOIN tr USING (query_id) GROUP BY ALL)"
 
-QUERIES = {f.__name__: f for f in (token_df, bm25, lexical_blend, multiview_rrf, quote_coverage, quote_match, asr_search, folded_text, question_types, text_quality, anchors, claim_division, evidence_rows, answer_support, recall_at_k, rank_buckets, paired_selection, percentile_latency, submission_rows, submission_audit, submission_json)}
+QUERIES = {f.__name__: f for f in (token_df, bm25, lexical_blend, multiview_rrf, quote_coverage, quote_match, asr_search, folded_text, question_types, text_quality, anchors, claim_division, evidence_rows, answer_support, recall_at_k, rank_buckets, paired_selection, percentile_latency, submission_rows, submission_audit, submission_json, localised_evidence, local_speech_score, verse_events, repaired_text)}
 SQL = {
     "token_df": f"WITH {SPEECH}, t AS (SELECT embedding_row, unnest({tokens_sql('text')}) AS term FROM speech), p AS (SELECT embedding_row, term, count(*) AS tf FROM t GROUP BY ALL) SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM p GROUP BY term",
     "bm25": f"WITH {_BM} SELECT query, doc, bm25, coverage, rank FROM r WHERE rank <= 20",
@@ -210,4 +239,10 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, r
     "submission_audit": f"""WITH {CANON}, {HITS}, c AS (SELECT DISTINCT video_id, frame_idx FROM canon), h AS (SELECT query_id, h.video_id, h.frame_idx, row_number() OVER (PARTITION BY query_id ORDER BY result_id) AS rank FROM hits h WHERE frame_idx IS NOT NULL),
 j AS (SELECT h.*, c.video_id IS NULL AS unknown, row_number() OVER (PARTITION BY query_id, h.video_id, h.frame_idx ORDER BY rank) AS dup FROM h LEFT JOIN c ON h.video_id = c.video_id AND h.frame_idx = c.frame_idx),
 x AS (SELECT query_id, unnest(['unknown_frame', 'repeated', 'beyond_limit', 'bad_frame']) AS code, unnest([count(*) FILTER (unknown), count(*) FILTER (dup > 1), count(*) FILTER (rank > 100), count(*) FILTER (frame_idx < 0)]) AS n FROM j GROUP BY query_id) SELECT * FROM x WHERE n > 0""",
+    "localised_evidence": f"""WITH {_SPEECH_IDX}, b AS (SELECT query, doc, round(bm25, 6) AS bm25, round(coverage, 6) AS coverage, s.video_id, s.pts_time, s.kf_n FROM sc JOIN speech s ON s.embedding_row = sc.doc WHERE s.video_id IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query, video_id ORDER BY bm25 DESC, doc) AS r1, row_number() OVER (PARTITION BY query, video_id ORDER BY coverage DESC, doc) AS r2 FROM b),
+f AS (SELECT *, 1.0::DOUBLE / (60 + r1) + 1.25::DOUBLE / (60 + r2) AS score FROM r)
+SELECT query, video_id, doc, round(score, 6) AS score, row_number() OVER (PARTITION BY query, video_id ORDER BY round(score, 9) DESC, pts_time NULLS FIRST, kf_n NULLS FIRST, doc) AS place FROM f QUALIFY place <= 3""",
+    "local_speech_score": f"""WITH {CANON}, {SPEECH}, f AS (SELECT * FROM canon WHERE pts_time IS NOT NULL AND kf_n % 100 = 3)
+SELECT f.g, coalesce(max(length(text)), 0)::DOUBLE AS score FROM f LEFT JOIN speech s ON f.video_id = s.video_id AND s.text IS NOT NULL AND s."end" >= s.start AND s.start - 60 <= f.pts_time AND s."end" + 60 >= f.pts_time GROUP BY f.g""",
 }

@@ -7,8 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keyreel.operators import dense, fusion, select
-from keyreel.plans.base import REQUESTS, requests
+from keyreel.plans.base import CANON, REQUESTS, canonical, requests
 from keyreel.session import table
+from keyreel.sources import ingest
 
 _Q = "vec_id IN (1, 2, 3, 4, 5)"
 
@@ -154,6 +155,30 @@ def answer_consistency(spark: SparkSession, d: str) -> DataFrame:
     return select.answer_consistency(requests(spark, d), answer="video_id").select("item", F.round("consistency", 6).alias("consistency"))
 
 
+def clip_hybrid(spark: SparkSession, d: str) -> DataFrame:
+    """Clip search over frames: three best queries, best query smoothed over five places, blended, 20 videos."""
+    out = dense.clip_scores(_scored(spark, d), video="label", frame="vec_id", order="vec_id", shortlist=5)
+    return out.select("label", "vec_id", F.round("top3", 6).alias("top3"), F.round("smooth5", 6).alias("smooth5"), F.round("hybrid", 6).alias("hybrid"))
+
+
+def per_video_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Two best frames of every query and video."""
+    return dense.per_video(_scored(spark, d), video="label", frame="vec_id", k=2).select("query", "label", "vec_id", "place")
+
+
+def margin_route(spark: SparkSession, d: str) -> DataFrame:
+    """Queries with a close race take the third model's scores."""
+    v = _scored(spark, d).groupBy("query", "label").agg(F.max("score").alias("a"), F.avg("score").alias("b"))
+    f = fusion.zfusion(v, video="label", a="a", b="b")
+    return fusion.reroute(f, v.withColumn("third", F.col("a") + F.col("b")), video="label", score="third", margin=0.3).select("query", "label", F.round("score", 6).alias("score"), "route", "rank")
+
+
+def canonicalised_pool(spark: SparkSession, d: str) -> DataFrame:
+    """Hits with the map's frames; unknown keys dropped, stale frames put right."""
+    pool = requests(spark, d).where("kf_n IS NOT NULL").select("query", "item", "video_id", "kf_n", "frame_idx")
+    return ingest.canonicalise(pool, canonical(spark, d))
+
+
 _CH = "CASE channel WHEN 'kis' THEN 'visual' WHEN 'qa' THEN 'asr' ELSE 'ocr' END"
 _RANKS = f"""{REQUESTS}, c AS (SELECT query, {_CH} AS channel, item, video_id, score FROM req),
 cr AS (SELECT *, row_number() OVER (PARTITION BY query, channel ORDER BY score DESC, item) AS rank FROM c),
@@ -161,7 +186,7 @@ ranks AS (SELECT query, channel, video_id, min(rank) AS rank FROM cr GROUP BY AL
 _POOL = f"""{_RANKS}, vr AS (SELECT query, video_id, row_number() OVER (PARTITION BY query ORDER BY min(rank), video_id) AS video_rank FROM ranks GROUP BY query, video_id),
 pool AS (SELECT req.*, video_rank, {_CH} AS source FROM req JOIN vr USING (query, video_id))"""
 
-QUERIES = {f.__name__: f for f in (dense_topk, video_max, zscore_fusion, clip_top3, minmax_norm, rrf_item, rrf_video, rrf_weighted_guarded, outer_fusion, union_provenance, dedupe_candidates, merge_sources, hard_negative, best_of_video, allocate_balanced, allocate_global, allocate_anchors, allocate_reserved, two_stage, answer_consistency)}
+QUERIES = {f.__name__: f for f in (dense_topk, video_max, zscore_fusion, clip_top3, minmax_norm, rrf_item, rrf_video, rrf_weighted_guarded, outer_fusion, union_provenance, dedupe_candidates, merge_sources, hard_negative, best_of_video, allocate_balanced, allocate_global, allocate_anchors, allocate_reserved, two_stage, answer_consistency, clip_hybrid, per_video_frames, margin_route, canonicalised_pool)}
 SQL = {
     "dense_topk": f"WITH {_SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, vec_id) AS rank FROM sc) SELECT query, vec_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10",
     "video_max": f"WITH {_SCORED} SELECT query, label, round(max(score), 6) AS score, arg_max(vec_id, (score, -vec_id)) AS vec_id FROM sc GROUP BY ALL",
@@ -212,4 +237,17 @@ SELECT query, item, stage, row_number() OVER (PARTITION BY query ORDER BY stage,
     "two_stage": f"""WITH {REQUESTS}, a AS (SELECT * FROM req WHERE pts_time IS NOT NULL QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, item) <= 24)
 SELECT query, item, row_number() OVER (PARTITION BY query ORDER BY pts_time DESC, item) AS place FROM a QUALIFY place <= 6""",
     "answer_consistency": f"WITH {REQUESTS} SELECT item, round(count(*) OVER (PARTITION BY query, video_id) / count(*) OVER (PARTITION BY query), 6) AS consistency FROM req",
+    "clip_hybrid": f"""WITH {_SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC) AS n FROM sc), t AS (SELECT label, vec_id, avg(score) FILTER (n <= 3) AS top3, max(score) AS best FROM r GROUP BY ALL),
+k AS (SELECT label FROM t GROUP BY label ORDER BY round(max(top3), 9) DESC, label LIMIT 5),
+l AS (SELECT label, vec_id, top3, best, coalesce(lag(best, 1) OVER w, first_value(best) OVER f) AS a, coalesce(lag(best, 2) OVER w, first_value(best) OVER f) AS b, coalesce(lead(best, 1) OVER w, last_value(best) OVER f) AS c, coalesce(lead(best, 2) OVER w, last_value(best) OVER f) AS d FROM t WHERE label IN (FROM k) WINDOW w AS (PARTITION BY label ORDER BY vec_id), f AS (PARTITION BY label ORDER BY vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT label, vec_id, round(top3, 6) AS top3, round((best + a + b + c + d) / 5, 6) AS smooth5, round(0.5::DOUBLE * top3 + 0.5::DOUBLE * (best + a + b + c + d) / 5, 6) AS hybrid FROM l""",
+    "per_video_frames": f"WITH {_SCORED} SELECT query, label, vec_id, row_number() OVER (PARTITION BY query, label ORDER BY score DESC, vec_id) AS place FROM sc QUALIFY place <= 2",
+    "margin_route": f"""WITH {_SCORED}, v AS (SELECT query, label, max(score) AS a, avg(score) AS b FROM sc GROUP BY ALL),
+z AS (SELECT *, 0.4 * (a - avg(a) OVER w) / (stddev_pop(a) OVER w + 1e-6) + 0.6 * (b - avg(b) OVER w) / (stddev_pop(b) OVER w + 1e-6) AS fused FROM v WINDOW w AS (PARTITION BY query)),
+r AS (SELECT *, row_number() OVER w AS rank, lead(fused) OVER w AS nxt FROM z WINDOW w AS (PARTITION BY query ORDER BY round(fused, 9) DESC, label)),
+c AS (SELECT query FROM r WHERE rank = 1 AND fused - nxt < 0.3),
+s AS (SELECT query, label, CASE WHEN query IN (FROM c) THEN a + b ELSE fused END AS score, CASE WHEN query IN (FROM c) THEN 'third' ELSE 'fused' END AS route FROM z)
+SELECT query, label, round(score, 6) AS score, route, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, label) AS rank FROM s""",
+    "canonicalised_pool": f"""WITH {CANON}, {REQUESTS}, c AS (SELECT video_id, kf_n, any_value(frame_idx) AS f FROM canon GROUP BY ALL)
+SELECT query, item, r.video_id, r.kf_n, c.f AS frame_idx, CASE WHEN r.frame_idx IS NOT DISTINCT FROM c.f THEN 'kept' ELSE 'remapped' END AS trace FROM req r JOIN c ON r.video_id = c.video_id AND r.kf_n = c.kf_n""",
 }

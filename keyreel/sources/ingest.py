@@ -190,3 +190,99 @@ def query_specs(spark: SparkSession, path: str) -> DataFrame:
     parts = F.filter(F.split("value", "\\n\\s*\\n"), lambda x: F.trim(x) != "")
     events = F.regexp_extract_all("value", F.lit("(?m)^\\s*(?:E|Event )?\\d+[:.)]\\s*(.+)$"), F.lit(1))
     return text.select(F.regexp_extract("f", "query-(.+)-[a-z]+\\.txt$", 1).alias("query_id"), F.regexp_extract("f", "-([a-z]+)\\.txt$", 1).alias("task"), F.trim(parts[0]).alias("query"), F.when(F.size(parts) > 1, F.trim(parts[1])).alias("question"), events.alias("events"))
+
+
+def read_any(spark: SparkSession, path: str) -> DataFrame:
+    """A table by its ending: .parquet, .csv, .json or .jsonl."""
+    if path.endswith(".csv"):
+        return spark.read.option("header", True).csv(path)
+    if path.endswith((".json", ".jsonl")):
+        return spark.read.option("multiLine", path.endswith(".json")).json(path)
+    return spark.read.parquet(path)
+
+
+def shard_map(rows: DataFrame, order: list[str]) -> DataFrame:
+    """A shard's row map with ``global_id`` from whichever alias it has, else from the total order."""
+    have = {c.lower() for c in rows.columns}
+    if have & set(ALIASES["global_id"]):
+        return unify(rows, ["global_id", "video_id", "kf_n"]).withColumn("global_id", F.col("global_id").cast("long"))
+    return dense_id(rows, order, "global_id").select("global_id", "video_id", "kf_n")
+
+
+def resolve_rows(wanted: DataFrame, shard: DataFrame) -> DataFrame:
+    """Row ids (global_id) with their (video_id, kf_n); ``found`` is false for unknown ones."""
+    return wanted.join(shard.withColumn("found", F.lit(True)), "global_id", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def list_shards(shards: DataFrame, *, modality: str | None = None, status: str | None = None) -> DataFrame:
+    """Registered embedding shards in order of modality, name and id."""
+    out = shards.where(F.col("modality") == modality) if modality else shards
+    out = out.where(F.col("status") == status) if status else out
+    return out.orderBy("modality", "name", "shard_id")
+
+
+def list_manifests(shards: DataFrame, most: int = 10_000) -> list[tuple[str, bool]]:
+    """Distinct metadata files (at most ``most``) and whether they exist."""
+    from pyarrow import fs
+
+    out = []
+    for r in shards.where("metadata_path IS NOT NULL").select("metadata_path").distinct().orderBy("metadata_path").limit(most).collect():
+        system, path = fs.FileSystem.from_uri(r[0] if "://" in r[0] else f"file://{r[0]}")
+        out.append((r[0], system.get_file_info(path).type != fs.FileType.NotFound))
+    return out
+
+
+def discover_source(spark: SparkSession, merged: str, shards: list[str]) -> DataFrame:
+    """The merged table where it can be read, else the shards united; the merged one is authoritative."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return read_any(spark, merged)
+    except AnalysisException:
+        rows = None
+        for p in shards:
+            d = read_any(spark, p)
+            rows = d if rows is None else rows.unionByName(d, allowMissingColumns=True)
+        if rows is None:
+            raise
+        return rows
+
+
+def merge_shards(shards: list[tuple[str, DataFrame]], vec: str) -> DataFrame:
+    """Feature shards (pack, rows with video_id, kf_n and vectors) under one dense row id in order of pack, video, keyframe; vectors stay with their keys."""
+    rows = None
+    for pack, d in shards:
+        p = d.select(F.lit(pack).alias("pack"), "video_id", "kf_n", vec)
+        rows = p if rows is None else rows.unionByName(p)
+    return dense_id(rows, ["pack", "video_id", "kf_n"], "row_id")
+
+
+def only_videos(df: DataFrame, videos: DataFrame | None) -> DataFrame:
+    """Rows of the given videos; no table means no filter."""
+    return df if videos is None else df.join(videos.select("video_id").distinct(), "video_id", "left_semi")
+
+
+def canonicalise(pool: DataFrame, canonical: DataFrame) -> DataFrame:
+    """Candidates with the map's frame: unknown keys are dropped, stale frames put right, and ``trace`` says which ('kept', 'remapped')."""
+    c = canonical.select("video_id", "kf_n", F.col("frame_idx").alias("_frame")).dropDuplicates(["video_id", "kf_n"])
+    j = pool.join(c, ["video_id", "kf_n"])
+    return j.withColumn("trace", F.when(F.col("frame_idx").eqNullSafe(F.col("_frame")), "kept").otherwise("remapped")).withColumn("frame_idx", F.col("_frame")).drop("_frame")
+
+
+def unique_evidence(records: DataFrame, canonical: DataFrame, *, id: str, tolerance: float = 1e-3) -> DataFrame:
+    """Records (id, video_id, kf_n, pts_time) that name exactly one row of the map, within the tolerance."""
+    c = canonical.select("video_id", "kf_n", "frame_idx", F.col("pts_time").alias("_t"))
+    j = records.join(c, ["video_id", "kf_n"]).where(F.abs(F.col("pts_time") - F.col("_t")) <= tolerance)
+    return j.withColumn("_n", F.count("*").over(W.partitionBy(id))).where("_n = 1").drop("_n", "_t")
+
+
+def load_modality(rows: DataFrame, canonical: DataFrame, *, row: str = "embedding_row", silent: DataFrame | None = None) -> DataFrame:
+    """A merged modality table after its gates: row ids from 0 without holes, every mapping in the map, no video both silent and seen. Raises, repairs nothing."""
+    from keyreel.operators import quality
+
+    ids = quality.contiguous(rows, row).first()
+    bad = quality.mapping_report(rows, canonical).where("mapping NOT IN ('ok')").limit(1).count()
+    both = quality.both_silent_and_seen(rows, silent).limit(1).count() if silent is not None else 0
+    if not ids["contiguous"] or bad or both:
+        raise ValueError(f"modality table: contiguous={ids['contiguous']}, bad mappings={bool(bad)}, silent but seen={bool(both)}")
+    return rows

@@ -96,3 +96,17 @@ def write_zip(task: str, answers: DataFrame, path: str) -> list[str]:
         if len(names) != len(set(names)):
             raise ValueError("repeated members")
     return names
+
+
+def ranked_rows(payload: DataFrame, *, json: str, task: str) -> DataFrame:
+    """Rows (query_id, rank, video_id, frame...) of JSON {"queries": {id: [answers]}}; sequences keep their frames as JSON."""
+    item = {"kis": "struct<video_id: string, frame_id: long>", "qa": "struct<video_id: string, frame_id: long, answer: string>", "trake": "struct<video_id: string, frame_ids: array<long>>"}[task]
+    q = payload.select(F.explode(F.from_json(json, f"queries map<string, array<{item}>>")["queries"]).alias("query_id", "a"))
+    flat = q.select("query_id", F.posexplode("a").alias("p", "x")).select("query_id", (F.col("p") + 1).alias("rank"), "x.*")
+    return flat.withColumn("frame_ids", F.to_json("frame_ids")) if task == "trake" else flat
+
+
+def summary(answers: DataFrame, problems: DataFrame) -> DataFrame:
+    """(query_id, answers, videos, problems) per query."""
+    a = answers.groupBy("query_id").agg(F.count("*").alias("answers"), F.countDistinct("video_id").alias("videos"))
+    return a.join(problems.groupBy("query_id").agg(F.sum("n").alias("problems")), "query_id", "left").na.fill(0, ["problems"])
