@@ -28,7 +28,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_ten_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten most similar vectors, however far, of every vector whose row is divisible by 20, against all rows."""
     near = nearest_of_queries(table(spark, sf_dir, "text_vectors"), space="modality", row="embedding_row", vec="vec", dim=64, k=10, query=F.col("embedding_row") % 20 == 0)
-    return near.select(F.col("space").alias("modality"), F.col("row").alias("embedding_row"), "neighbour", "place", F.round("sim", 5).alias("sim"))
+    return near.select(F.col("space").alias("modality"), F.col("row").alias("embedding_row"), "neighbour", "place")
 
 
 def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +147,19 @@ a AS (SELECT DISTINCT embedding_row, upper(trim(video_id)) AS v, CASE WHEN "end"
 n AS (SELECT embedding_row, arg_min(kf_n, (abs(pts_time - m), pts_time)) AS kf_n, min(abs(pts_time - m)) AS distance FROM a JOIN k USING (v) WHERE abs(pts_time - m) <= 3.0 GROUP BY 1)
 """
 
+_VECTORS = """
+WITH u AS (SELECT DISTINCT modality, embedding_row, vec::DOUBLE[] AS vec FROM text_vectors WHERE len(vec) = 64),
+v AS (SELECT modality, embedding_row, vec, sqrt(list_dot_product(vec, vec)) AS norm FROM u WHERE isfinite(list_dot_product(vec, vec)) AND list_dot_product(vec, vec) > 0)
+"""
+
 SQL: dict[str, str] = {
+    "p1_found": _VECTORS + """,
+s AS (SELECT a.modality, a.embedding_row AS r, b.embedding_row AS o, list_dot_product(a.vec, b.vec) / (a.norm * b.norm) AS sim FROM v a JOIN v b ON a.modality = b.modality AND a.embedding_row <> b.embedding_row),
+n AS (SELECT * FROM s WHERE sim >= 0.9 QUALIFY row_number() OVER (PARTITION BY modality, r ORDER BY sim DESC, o) <= 10)
+SELECT DISTINCT modality, least(r, o) AS row_a, greatest(r, o) AS row_b FROM n""",
+    "p1_ten_nearest": _VECTORS + """,
+s AS (SELECT a.modality, a.embedding_row AS r, b.embedding_row AS o, list_dot_product(a.vec, b.vec) / (a.norm * b.norm) AS sim FROM v a JOIN v b ON a.modality = b.modality AND a.embedding_row <> b.embedding_row WHERE a.embedding_row % 20 = 0)
+SELECT modality, r AS embedding_row, o AS neighbour, row_number() OVER (PARTITION BY modality, r ORDER BY sim DESC, o) AS place FROM s QUALIFY place <= 10""",
     "p2_found": """SELECT DISTINCT embedding_row FROM asr_global_merged_v2 WHERE length(trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g'))) > 480 OR "end" - start > 30""",
     "p3_found": _NEAREST + "SELECT embedding_row, kf_n FROM n",
     "p3_nearest": _NEAREST + "SELECT DISTINCT a.embedding_row, n.kf_n, n.distance FROM a LEFT JOIN n USING (embedding_row)",

@@ -107,11 +107,28 @@ def _sig_type(directions: int) -> type:
     return np.uint16 if 2 * directions <= 1 << 16 else np.uint32
 
 
+#: Rows of a partition that are laid out at once; a window array is never cut.
+CHUNK_ROWS = 150_000
+
+
 def _meeting(batches: Iterator[pa.RecordBatch], directions: int, window: int, most_apart: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of rows that meet in two windows and collide in enough of the counted projections, each pair once per partition set."""
+    """The pairs of a partition, array by array: packed rows are held as they came, only some arrays at a time are unpacked."""
     table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
     if table is None or not table.num_rows:
         return
+    own, second = table.column("array").to_numpy().astype(np.int64), table.column("second").to_numpy().astype(np.int64)
+    key = own << 32 | (second + 1)
+    order = np.argsort(key, kind="stable")
+    ends = np.append(np.flatnonzero(np.diff(key[order])) + 1, len(order))
+    at = 0
+    while at < len(order):
+        to = int(ends[max(np.searchsorted(ends, at + CHUNK_ROWS, side="right") - 1, np.searchsorted(ends, at, side="right"))])
+        yield from _pairs(table.take(pa.array(order[at:to])), directions, window, most_apart)
+        at = to
+
+
+def _pairs(table: pa.Table, directions: int, window: int, most_apart: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of rows that meet in two windows and collide in enough of the counted projections; each pair is told in one array only."""
     table = table.combine_chunks()
     spaces = table.column("space").combine_chunks().dictionary_encode()
     spaces = spaces.combine_chunks() if isinstance(spaces, pa.ChunkedArray) else spaces
@@ -236,7 +253,7 @@ BLOCK, ASKED_BLOCK, PARTS = 4096, 16_384, 12
 
 
 def _pack(dim: int, size: int):
-    """Rows (space, block, rows, vecs) of up to ``size`` unit vectors of one space, from rows (space, row, vec)."""
+    """Rows (space, block, rows, vecs) of up to ``size`` vectors of one space as they are stored, from rows (space, row, vec)."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -251,8 +268,8 @@ def _pack(dim: int, size: int):
             while whole.num_rows - at >= least and at < whole.num_rows:
                 piece = whole.slice(at, size)
                 at += piece.num_rows
-                unit = _unit(piece.column(2).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
-                yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([part + n], pa.int64()), pa.array([piece.column(1).to_numpy().tobytes()]), pa.array([unit.tobytes()])], ["space", "block", "rows", "vecs"])
+                flat = piece.column(2).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([part + n], pa.int64()), pa.array([piece.column(1).to_numpy().tobytes()]), pa.array([flat.tobytes()])], ["space", "block", "rows", "vecs"])
                 n += 1
             if at < whole.num_rows:
                 held[s] = whole.slice(at).to_batches()
@@ -277,29 +294,34 @@ def _best(dim: int, k: int):
             if own is None:
                 return
             got = sim > -2
-            yield pa.RecordBatch.from_arrays([pa.array([own[0]] * int(got.sum()), pa.string()), pa.array(np.repeat(qr, got.sum(1))), pa.array(near[got]), pa.array(sim[got].astype(np.float64))], ["space", "row", "neighbour", "sim"])
+            yield pa.RecordBatch.from_arrays([pa.array([own[0]] * int(got.sum()), pa.string()), pa.array(np.repeat(qr, got.sum(1))), pa.array(near[got]), pa.array(sim[got])], ["space", "row", "neighbour", "sim"])
 
         for batch in batches:
             for r in batch.to_pylist():
-                rows, vecs = np.frombuffer(r["rows"], np.int64), np.frombuffer(r["vecs"], np.float32).reshape(-1, dim)
+                rows, vecs = np.frombuffer(r["rows"], np.int64), np.frombuffer(r["vecs"], np.float32).reshape(-1, dim).astype(np.float64)
+                vecs /= np.linalg.norm(vecs, axis=1, keepdims=True)
                 key = (r["space"], r["asked_block"], r["part"])
                 if not r["is_vector"]:
                     yield from told()
                     own, qr, q = key, rows, vecs
-                    sim, near = np.full((len(q), k), -2.0, np.float32), np.zeros((len(q), k), np.int64)
+                    sim, near = np.full((len(q), k), -2.0), np.zeros((len(q), k), np.int64)
                     continue
                 if key != own:
                     continue
                 for lo in range(0, len(q), 1024):
                     s = q[lo : lo + 1024] @ vecs.T
                     s[qr[lo : lo + 1024, None] == rows[None, :]] = -2
-                    # Only queries for which some vector of the block beats their k-th so far are looked at.
-                    ahead = np.flatnonzero(s.max(1) > sim[lo : lo + 1024].min(1))
+                    # Only queries for which some vector of the block beats or equals their k-th so far are looked at.
+                    ahead = np.flatnonzero(s.max(1) >= sim[lo : lo + 1024].min(1) - 1e-12)
                     if not len(ahead):
                         continue
-                    both = np.concatenate((sim[lo + ahead], s[ahead]), axis=1)
+                    both = np.concatenate((sim[lo + ahead], np.round(s[ahead], 12)), axis=1)
                     names = np.concatenate((near[lo + ahead], np.broadcast_to(rows, (len(ahead), len(rows)))), axis=1)
                     top = np.argpartition(both, both.shape[1] - k, axis=1)[:, both.shape[1] - k :]
+                    least = np.take_along_axis(both, top, 1).min(1)
+                    for i in np.flatnonzero(((both >= least[:, None]).sum(1) > k) & (least > -2)):  # more equal ones than places: the lowest rows
+                        level = np.flatnonzero(both[i] >= least[i])
+                        top[i] = level[np.lexsort((names[i, level], -both[i, level]))][:k]
                     sim[lo + ahead], near[lo + ahead] = np.take_along_axis(both, top, 1), np.take_along_axis(names, top, 1)
         yield from told()
 
@@ -311,8 +333,7 @@ def nearest_of_queries(vectors: DataFrame, *, space: str, row: str, vec: str, di
 
     This is the last level of the rehashing, where each window is a whole array and so every vector exceeds the threshold:
     the query set is laid against all rows in blocks, by matrix product. A block of queries meets the vectors in ``PARTS``
-    tasks, each of which keeps k rows per query while its vectors stream by; only these are merged. Exact up to single
-    precision; ties go to the lower row where they are told apart. A row given twice counts once.
+    tasks, each of which keeps k rows per query while its vectors stream by; only these are merged. Exact; ties (to twelve places) go to the lower row. A row given twice counts once.
     """
     base = usable(vectors.where(F.col(space).isNotNull() & F.col(row).isNotNull()), vec, dim).select(F.col(space).cast("string").alias("space"), F.col(row).cast("long").alias("row"), F.col(vec).cast("array<float>").alias("vec"), query.alias("asked"))
     base = cut_table(base.dropDuplicates(["space", "row"]))
