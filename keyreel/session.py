@@ -40,6 +40,9 @@ def cut_table(df: DataFrame, *partition_by: str) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder: smaller than a checkpoint, and pruned and pushed down when read."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/keyreel-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(conf).deleteOnExit(where)  # the table lives as long as the application
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
