@@ -241,7 +241,7 @@ def word_windows(words: DataFrame, *, by: str, word: str, start: str, end: str,
 def provider_words(payload: DataFrame, *, id: str, json: str) -> DataFrame:
     """(id, word, start, end) of a speech provider's JSON: channels, alternatives, words; punctuated words where there are some."""
     schema = "results struct<channels: array<struct<alternatives: array<struct<words: array<struct<word: string, punctuated_word: string, start: double, `end`: double>>>>>>>"
-    w = payload.select(id, F.explode(F.from_json(json, schema)["results"]["channels"][0]["alternatives"][0]["words"]).alias("w"))
+    w = payload.select(id, F.explode(F.get(F.get(F.from_json(json, schema)["results"]["channels"], F.lit(0))["alternatives"], F.lit(0))["words"]).alias("w"))
     return w.select(id, F.coalesce("w.punctuated_word", "w.word").alias("word"), "w.start", "w.end")
 
 

@@ -41,7 +41,7 @@ REQUEST = "CAST(split_part(query_id, '-', 2) AS BIGINT) % 40"
 def requests(spark: SparkSession, d: str) -> DataFrame:
     """Hits as channels of 40 requests: (query, channel, item, video_id, score, kf_n, frame_idx, pts_time)."""
     h = hits(spark, d)
-    return h.select((F.split("query_id", "-")[1].cast("long") % 40).alias("query"), "channel", F.col("result_id").alias("item"), "video_id", "score", "kf_n", "frame_idx", "pts_time")
+    return h.select((F.get(F.split("query_id", "-"), F.lit(1)).try_cast("long") % 40).alias("query"), "channel", F.col("result_id").alias("item"), "video_id", "score", "kf_n", "frame_idx", "pts_time")
 
 
 REQUESTS = f"{HITS}, req AS (SELECT {REQUEST} AS query, channel, result_id AS item, video_id, score, kf_n, frame_idx, pts_time FROM hits)"

@@ -161,20 +161,20 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
     return e.where("value IS NOT NULL").select("user_id", F.col("event_id").alias("frame"), t.alias("t"), *cols)
 
 
-def dante_index(spark: SparkSession, d: str) -> DataFrame:
+def ordered_alignment(spark: SparkSession, d: str) -> DataFrame:
     """Three ordered events per user, penalty per frame between."""
     out = align.align(_events(spark, d), by=["user_id"], time="t", frame="frame", events=["e0", "e1", "e2"], penalty=0.25, axis="index")
     return out.select("user_id", F.round("score", 6).alias("score"), F.array_join("path", "-").alias("path"))
 
 
-def dante_time(spark: SparkSession, d: str) -> DataFrame:
+def timed_alignment(spark: SparkSession, d: str) -> DataFrame:
     """Three ordered events per user, penalty per second between (a power of two, so both engines round alike)."""
     out = align.align(_events(spark, d), by=["user_id"], time="t", frame="frame", events=["e0", "e1", "e2"], penalty=2.0**-16, axis="time")
     return out.select("user_id", F.round("score", 6).alias("score"), F.array_join("path", "-").alias("path"))
 
 
 def gap_alignment(spark: SparkSession, d: str) -> DataFrame:
-    """As dante_index with at most ten frames between two events."""
+    """As ordered_alignment with at most ten frames between two events."""
     out = align.align(_events(spark, d), by=["user_id"], time="t", frame="frame", events=["e0", "e1", "e2"], penalty=0.25, axis="index", max_gap=10)
     return out.select("user_id", F.round("score", 6).alias("score"), F.array_join("path", "-").alias("path"))
 
@@ -218,7 +218,7 @@ def fused_modalities(spark: SparkSession, d: str) -> DataFrame:
     return align.fuse_modalities(h, by=["video_id", "kf_n"], modality="channel", score="score", weights={"kis": 1.0, "qa": 0.5}).select("video_id", "kf_n", F.round("fused", 6).alias("fused"), F.size("evidence").alias("modalities"))
 
 
-_DANTE_STEP = """
+_ALIGN_STEPS = """
 s1 AS (SELECT *, {t} AS tt, e0::DOUBLE AS dp, [frame] AS path FROM m),
 s2 AS (SELECT *, max(CASE WHEN dp IS NOT NULL THEN {{'x': dp + {p} * tt, 'o': -i, 'p': path}} END) OVER w AS b FROM s1 WINDOW w AS (PARTITION BY user_id ORDER BY t, frame ROWS BETWEEN {lo} AND 1 PRECEDING)),
 s3 AS (SELECT * REPLACE (e1 + b.x - {p} * tt AS dp, list_concat(b.p, [frame]) AS path) FROM s2),
@@ -229,7 +229,7 @@ SELECT user_id, round(b.s, 6) AS score, array_to_string(b.p, '-') AS path FROM z
 _MATRIX = """WITH x AS (SELECT user_id, event_id AS frame, floor(epoch_us(ts) / 1000000)::DOUBLE AS t, round(value * 64) / 64 AS s, event_id % 3 AS k FROM events WHERE value IS NOT NULL),
 m AS (SELECT user_id, frame, t, row_number() OVER (PARTITION BY user_id ORDER BY t, frame)::DOUBLE AS i, CASE WHEN k <> 1 THEN s END AS e0, CASE WHEN k <> 2 THEN s END AS e1, CASE WHEN k <> 0 THEN s END AS e2 FROM x),"""
 
-QUERIES = {f.__name__: f for f in (canonical_map, identity_set, inventory, mapping_mismatch, coverage_rollup, timeline_report, preflight, artifact_scope, priority_dedupe, resolve_frames, pilot_scope, nearest_frame, interval_context, interval_overlap, temporal_neighbors, temporal_consensus, peak_neighbourhoods, moving_smooth, peaks_nms, gap_sessions, time_sampling, word_windows, dante_index, dante_time, gap_alignment, event_division, event_shortlist, lattice_candidates, temporal_relation, event_normalised, fused_modalities)}
+QUERIES = {f.__name__: f for f in (canonical_map, identity_set, inventory, mapping_mismatch, coverage_rollup, timeline_report, preflight, artifact_scope, priority_dedupe, resolve_frames, pilot_scope, nearest_frame, interval_context, interval_overlap, temporal_neighbors, temporal_consensus, peak_neighbourhoods, moving_smooth, peaks_nms, gap_sessions, time_sampling, word_windows, ordered_alignment, timed_alignment, gap_alignment, event_division, event_shortlist, lattice_candidates, temporal_relation, event_normalised, fused_modalities)}
 SQL = {
     "canonical_map": f"WITH {CANON} SELECT video_id, pack, kf_n, frame_idx, pts_time, row_number() OVER (ORDER BY pack NULLS FIRST, video_id, kf_n, frame_idx) - 1 AS row_id FROM canon",
     "identity_set": f"""WITH {CANON}, {SPEECH}, a AS (SELECT DISTINCT video_id, kf_n, frame_idx FROM canon), b AS (SELECT DISTINCT video_id, kf_n, frame_idx FROM speech WHERE video_id IS NOT NULL AND kf_n IS NOT NULL AND frame_idx IS NOT NULL)
@@ -271,9 +271,9 @@ SELECT g, round((score + a + b + c + d) / 5, 6) AS smoothed FROM l""",
 n AS (SELECT *, (sum(CASE WHEN gap > 15 THEN 1 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY pts_time, embedding_row ROWS UNBOUNDED PRECEDING))::BIGINT AS session FROM s),
 g AS (SELECT *, pts_time - lag(pts_time) OVER (PARTITION BY video_id, session ORDER BY pts_time) AS inner_gap FROM n)
 SELECT video_id, session, count(*) AS n, min(pts_time) AS first, max(pts_time) AS last, round(greatest(0.0, least(1.0, 1 - coalesce(avg(inner_gap), 0) / 15)), 6) AS density FROM g GROUP BY video_id, session""",
-    "dante_index": _MATRIX + _DANTE_STEP.format(t="i", p="0.25::DOUBLE", lo="UNBOUNDED PRECEDING"),
-    "dante_time": _MATRIX + _DANTE_STEP.format(t="t", p="(1.0::DOUBLE / 65536)", lo="UNBOUNDED PRECEDING"),
-    "gap_alignment": _MATRIX + _DANTE_STEP.format(t="i", p="0.25::DOUBLE", lo="10 PRECEDING"),
+    "ordered_alignment": _MATRIX + _ALIGN_STEPS.format(t="i", p="0.25::DOUBLE", lo="UNBOUNDED PRECEDING"),
+    "timed_alignment": _MATRIX + _ALIGN_STEPS.format(t="t", p="(1.0::DOUBLE / 65536)", lo="UNBOUNDED PRECEDING"),
+    "gap_alignment": _MATRIX + _ALIGN_STEPS.format(t="i", p="0.25::DOUBLE", lo="10 PRECEDING"),
     "event_division": f"WITH {HITS}, b AS (SELECT video_id, channel, max(score) AS m FROM hits GROUP BY ALL) SELECT video_id, round(sum(m), 6) AS bound FROM b GROUP BY video_id HAVING count(*) = 4",
     "event_shortlist": f"WITH {HITS}, b AS (SELECT video_id, channel, max(score) AS m FROM hits GROUP BY ALL), s AS (SELECT video_id, sum(m) AS bound FROM b GROUP BY video_id), r AS (SELECT *, row_number() OVER (ORDER BY round(bound, 9) DESC, video_id) AS place FROM s) SELECT video_id, round(bound, 6) AS bound, place FROM r WHERE place <= 20",
     "lattice_candidates": f"""WITH {HITS}, h AS (SELECT video_id, channel, kf_n, max(score) AS score FROM hits WHERE kf_n IS NOT NULL GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY video_id, channel ORDER BY kf_n) AS pos, row_number() OVER (PARTITION BY video_id, channel ORDER BY score DESC, kf_n) AS r FROM h)

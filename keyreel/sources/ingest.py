@@ -186,10 +186,10 @@ def query_specs(spark: SparkSession, path: str) -> DataFrame:
     if path.endswith(".json"):
         raw = spark.read.option("multiLine", True).schema("queries array<struct<query_id: string, task: string, query: string, question: string, events: array<string>>>").json(path)
         return raw.select(F.explode("queries").alias("q")).select("q.*")
-    text = spark.read.option("wholetext", True).option("pathGlobFilter", "query-*.txt").text(path).withColumn("f", F.input_file_name())
+    text = spark.read.option("pathGlobFilter", "query-*.txt").text(path, wholetext=True).withColumn("f", F.input_file_name())
     parts = F.filter(F.split("value", "\\n\\s*\\n"), lambda x: F.trim(x) != "")
     events = F.regexp_extract_all("value", F.lit("(?m)^\\s*(?:E|Event )?\\d+[:.)]\\s*(.+)$"), F.lit(1))
-    return text.select(F.regexp_extract("f", "query-(.+)-[a-z]+\\.txt$", 1).alias("query_id"), F.regexp_extract("f", "-([a-z]+)\\.txt$", 1).alias("task"), F.trim(parts[0]).alias("query"), F.when(F.size(parts) > 1, F.trim(parts[1])).alias("question"), events.alias("events"))
+    return text.select(F.regexp_extract("f", "query-(.+)-[a-z]+\\.txt$", 1).alias("query_id"), F.regexp_extract("f", "-([a-z]+)\\.txt$", 1).alias("task"), F.trim(F.get(parts, F.lit(0))).alias("query"), F.trim(F.get(parts, F.lit(1))).alias("question"), events.alias("events"))
 
 
 def read_any(spark: SparkSession, path: str) -> DataFrame:

@@ -293,3 +293,52 @@ def test_resumable_stream_runs_once(spark, tmp_path):
     assert rows(spark.read.parquet(out), "id", "u") == [(1, "A"), (2, "B")]
     log = spark.createDataFrame([(1, 1, "error"), (1, 2, "success"), (2, 1, "error")], "id long, attempt int, status string")
     assert rows(resume.to_do(df, log, "id"), "id") == [(2,)]
+
+
+def test_repair_and_gates(spark):
+    df = spark.createDataFrame([("HÃ  Ná»™i".replace("Ã ", "Ã "),), ("Hà Nội",), (None,)], "t string")
+    assert [r[0] for r in df.select(T.repair_mojibake("t")).collect()] == ["Hà Nội", "Hà Nội", None]
+    q = spark.createDataFrame([("Logo của hãng nào?",), ("Bao nhiêu logo?",), ("Bài thơ gì?",), (None,)], "q string")
+    assert [r[:] for r in q.select(T.wants_image_grounding("q"), T.is_poetry_question("q")).collect()] == [(True, False), (False, False), (False, True), (False, False)]
+
+
+def test_stale_and_unknown_frames(spark):
+    c = spark.createDataFrame([("v", 1, 10, 0.0), ("v", 2, 20, 2.0)], "video_id string, kf_n long, frame_idx long, pts_time double")
+    p = spark.createDataFrame([(1, "v", 1, 10), (2, "v", 1, 99), (3, "v", 9, 1), (4, "v", 2, None)], "item int, video_id string, kf_n long, frame_idx long")
+    assert rows(ingest.canonicalise(p, c), "item", "frame_idx", "trace") == [(1, 10, "kept"), (2, 10, "remapped"), (4, 20, "remapped")]
+    r = spark.createDataFrame([(1, "v", 1, 0.0), (2, "v", 1, 5.0)], "id int, video_id string, kf_n long, pts_time double")
+    assert rows(ingest.unique_evidence(r, c, id="id"), "id") == [(1,)]
+    assert ingest.only_videos(p, None) is p and ingest.only_videos(p, c.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        ingest.load_modality(p.withColumn("embedding_row", F.col("item").cast("long")).withColumn("pts_time", F.lit(0.0)), c)
+
+
+def test_conflicting_rows_are_dropped_altogether(spark):
+    r = spark.createDataFrame([("a", 1, 2.0), ("a", 1, 1.0), ("b", 1, 1.0), ("b", 2, 9.0)], "k string, f int, s double")
+    assert rows(fusion.dedupe_guarded(r, key=["k"], order=[F.desc("s")], place=["f"]), "k", "s") == [("a", 2.0)]
+
+
+def test_verified_claims(spark):
+    a = spark.createDataFrame([(1, "cold front"), (2, "cold front"), (3, "cold front")], "id int, answer string")
+    met = spark.createDataFrame([(1, True), (2, True), (2, False), (3, True)], "id int, met boolean")
+    ev = spark.createDataFrame([(1, "the cold front", False), (2, "the cold front", False), (3, "the cold front", True)], "id int, text string, is_claim boolean")
+    assert rows(evidence.verify_claims(a, met, ev, id="id", answer="answer")) == [(1, "verified"), (2, "claims_open"), (3, "answer_unsupported")]
+
+
+def test_speech_provider_payload(spark):
+    j = '{"results": {"channels": [{"alternatives": [{"words": [{"word": "a", "punctuated_word": "A.", "start": 0.0, "end": 0.5}]}]}], "utterances": [{"transcript": "x", "start": 0.0, "end": 1.0}, {"transcript": "x", "start": 0.0, "end": 1.0}]}}'
+    df = spark.createDataFrame([("v", j), ("w", "{}"), ("u", None), ("t", '{"results": {"channels": []}}')], "id string, j string")
+    assert rows(temporal.provider_words(df, id="id", json="j")) == [("v", "A.", 0.0, 0.5)]
+    assert rows(temporal.provider_utterances(df, id="id", json="j")) == [("v", "x", 0.0, 1.0)]
+
+
+def test_ranked_json(spark):
+    j = '{"queries": {"q": [{"video_id": "v", "frame_ids": [1, 2]}]}}'
+    df = spark.createDataFrame([(j,)], "j string")
+    assert rows(submission.ranked_rows(df, json="j", task="trake")) == [("q", 1, "v", "[1,2]")]
+
+
+def test_rescue_needs_rank_and_score(spark):
+    p = "array<struct<mode: string, rank: int, score: double, view: string>>"
+    df = spark.createDataFrame([([("quote", 2, 0.1, "a")],), ([("soft", 2, 0.5, "a")],), ([("soft", 2, 0.9, "b")],), ([("soft", 9, 0.9, "b")],), (None,)], f"p {p}")
+    assert [r[0] for r in df.select(fusion.rescue_reason(F.col("p"), modes=["quote", "soft"])).collect()] == ["quote:a:2", None, "soft:b:2", None, None]
