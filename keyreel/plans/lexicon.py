@@ -110,8 +110,8 @@ def claim_division(spark: SparkSession, d: str) -> DataFrame:
 
 
 def evidence_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Five speech rows around every two-hundredth keyframe by word overlap, then distance."""
-    a = canonical(spark, d).where("pts_time IS NOT NULL AND kf_n % 200 = 7").select(F.col("g").alias("anchor"), "video_id", F.col("pts_time").alias("at"), F.lit(ASKED[2]).alias("query"))
+    """Five speech rows around every keyframe by word overlap, then distance."""
+    a = canonical(spark, d).where("pts_time IS NOT NULL").select(F.col("g").alias("anchor"), "video_id", F.col("pts_time").alias("at"), F.lit(ASKED[2]).alias("query"))
     s = speech(spark, d).where("text IS NOT NULL").select("video_id", "start", "end", "text", "embedding_row")
     out = evidence.select_rows(a, s, anchor="anchor", on="video_id", time="at", query="query", start="start", end="end", text="text", row="embedding_row", within=15.0, limit=5)
     return out.select("anchor", "embedding_row", "overlap", F.round("distance", 6).alias("distance"), "place")
@@ -180,8 +180,8 @@ def localised_evidence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def local_speech_score(spark: SparkSession, d: str) -> DataFrame:
-    """Best length of a chunk within 60 seconds of every hundredth keyframe, 0 without one."""
-    f = canonical(spark, d).where("pts_time IS NOT NULL AND kf_n % 100 = 3")
+    """Best length of a chunk within 60 seconds of every keyframe, 0 without one."""
+    f = canonical(spark, d).where("pts_time IS NOT NULL")
     s = speech(spark, d).where("text IS NOT NULL").select("video_id", "start", "end", F.length("text").cast("double").alias("score"))
     return temporal.best_in_reach(f, s, on="video_id", frame="g", time="pts_time", start="start", end="end", score="score")
 

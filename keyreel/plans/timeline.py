@@ -84,8 +84,8 @@ def nearest_frame(spark: SparkSession, d: str) -> DataFrame:
 
 
 def interval_context(spark: SparkSession, d: str) -> DataFrame:
-    """First three chunks within 15 seconds of every hundredth keyframe, joined and cut."""
-    a = canonical(spark, d).where("pts_time IS NOT NULL AND kf_n % 100 = 1").select(F.col("g").alias("anchor"), "video_id", F.col("pts_time").alias("at"))
+    """First three chunks within 15 seconds of every keyframe, joined and cut."""
+    a = canonical(spark, d).where("pts_time IS NOT NULL").select(F.col("g").alias("anchor"), "video_id", F.col("pts_time").alias("at"))
     s = speech(spark, d).where("trim(text) <> ''").select("video_id", "start", "end", "text", "embedding_row")
     return temporal.context_windows(a, s, on="video_id", anchor="anchor", time="at", start="start", end="end", text="text", order="embedding_row", within=15.0, most_rows=3, most_chars=1500)
 
@@ -99,9 +99,9 @@ def interval_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def temporal_neighbors(spark: SparkSession, d: str) -> DataFrame:
-    """Two frames before and after every fiftieth keyframe."""
+    """Two frames before and after every keyframe."""
     c = canonical(spark, d).where("pts_time IS NOT NULL")
-    return temporal.neighbours(c.where("kf_n % 50 = 0"), c, by="video_id", id="g", order=["pts_time", "kf_n"], radius=2).select("seed", "g", "offset")
+    return temporal.neighbours(c, c, by="video_id", id="g", order=["pts_time", "kf_n"], radius=2).select("seed", "g", "offset")
 
 
 def _frame_scores(spark: SparkSession, d: str) -> DataFrame:
