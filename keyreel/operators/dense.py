@@ -1,4 +1,4 @@
-"""Exact dense search: matrix products on Arrow batches, k best per batch, k best overall."""
+"""Exact dense search: matrix products of blocks of items and blocks of queries, k best per task, k best overall."""
 
 from __future__ import annotations
 
@@ -6,12 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Query vectors that one search may send to the workers.
-MOST_QUERIES = 10_000
+#: Vectors in a block of queries and in a block of items; their scores are held at once.
+QUERY_BLOCK, ITEM_BLOCK = 512, 2048
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -31,48 +32,90 @@ def valid_vectors(df: DataFrame, vec: str, dim: int) -> DataFrame:
     return df.where((F.size(vec) == dim) & (n > 0) & (n < float("inf")))
 
 
+def _pack(size: int, dim: int):
+    """Batches of columns and a last column of vectors, as blocks of ``size``: the columns in Arrow's format, the vectors as doubles; null ones and those of another dimension are NaN."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                vecs = part.column(part.num_columns - 1)
+                good = np.array([n == dim for n in pc.list_value_length(vecs).to_pylist()])
+                v = np.full((part.num_rows, dim), np.nan)
+                if good.any():
+                    v[good] = vecs.filter(pa.array(good)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, (rest := part.select(range(part.num_columns - 1))).schema) as w:
+                    w.write_batch(rest)
+                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([v.tobytes()], pa.binary()), pa.array([good.tobytes()], pa.binary())], ["cols", "vecs", "good"])
+
+    return run
+
+
+def _blocks(items: DataFrame, queries: DataFrame, dim: int) -> DataFrame:
+    """Every block of items beside every block of queries (last columns: arrays of doubles). Queries are few to an item block's many and are brought together first."""
+    schema = "cols binary, vecs binary, good binary"
+    i = items.mapInArrow(_pack(ITEM_BLOCK, dim), schema)
+    q = queries.repartition(queries.columns[0]).mapInArrow(_pack(QUERY_BLOCK, dim), schema)
+    return i.crossJoin(q.select(*(F.col(c).alias(f"q_{c}") for c in ("cols", "vecs", "good"))))
+
+
+def _unpacked(batch: pa.RecordBatch, dim: int) -> Iterator[tuple]:
+    """(columns, vectors, usable) of the items and the same of the queries, for every pair of blocks in a batch."""
+    for row in zip(*(c.to_pylist() for c in batch.columns)):
+        sides = []
+        for cols, vecs, good in (row[:3], row[3:]):
+            with pa.ipc.open_stream(cols) as r:
+                sides += [r.read_all().combine_chunks(), np.frombuffer(vecs).reshape(-1, dim), np.frombuffer(good, bool)]
+        yield (*sides, row[3])
+
+
 def search(items: DataFrame, queries: DataFrame, *, id: str, vec: str, query_id: str, query_vec: str, k: int, normalise: bool = True, dim: int = 64) -> DataFrame:
-    """(query, id, score, rank): the ``k`` items with the highest inner product for every query, ties by id ascending.
+    """(query, id, score, rank): the ``k`` items with the highest inner product (to nine places) for every query, ties by id ascending.
 
-    Each batch gives its k best for a query, so at most k rows per query and batch are shuffled. The query set is counted and
-    must not exceed MOST_QUERIES. Items that are null, of another dimension, zero or not finite take no part.
+    Blocks of items meet blocks of queries, as many as there are; a task keeps the k best of each query while the blocks
+    stream by. Items and queries that are null, of another dimension, zero or not finite take no part.
     """
-    rows = queries.where(F.col(query_vec).isNotNull()).select(F.col(query_id).cast("string").alias("q"), F.col(query_vec).cast("array<double>").alias("v")).limit(MOST_QUERIES + 1).collect()
-    if len(rows) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries: search them in parts")
-    q = np.array([r["v"] for r in rows if len(r["v"]) == dim], dtype=np.float64).reshape(-1, dim)
-    names = np.array([r["q"] for r in rows if len(r["v"]) == dim], dtype=object)
-    fine = np.isfinite(q).all(1) & (np.square(q).sum(1) > 0)
-    q, names = q[fine], names[fine]
-    if normalise:
-        q = q / np.linalg.norm(q, axis=1, keepdims=True)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict = {}
         for batch in batches:
-            if not batch.num_rows or not len(q):
-                continue
-            v = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-            if normalise:
-                v = v / np.linalg.norm(v, axis=1, keepdims=True)
-            ids = batch.column(0).to_numpy()
-            by_id = np.argsort(ids, kind="stable")
-            ids, s = ids[by_id], q @ v[by_id].T
-            m = min(k, s.shape[1])
-            top = np.argsort(-np.round(s, 12), axis=1, kind="stable")[:, :m]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, m), pa.string()), pa.array(ids[top].ravel(), pa.int64()), pa.array(np.take_along_axis(s, top, 1).ravel())], ["query", "id", "score"])
-
-    found = valid_vectors(items, vec, dim).select(F.col(id).cast("long").alias("id"), F.col(vec).cast("array<float>").alias("vec")).mapInArrow(best, "query string, id long, score double")
-    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "id"))).where(F.col("rank") <= k)
+            for cols, v, _, asked, q, _, key in _unpacked(batch, dim):
+                if normalise:
+                    v, q = v / np.linalg.norm(v, axis=1, keepdims=True), q / np.linalg.norm(q, axis=1, keepdims=True)
+                s = q @ v.T
+                ids = np.broadcast_to(cols.column(0).to_numpy(), s.shape)
+                if key in kept:
+                    s, ids = np.hstack([kept[key][1], s]), np.hstack([kept[key][2], ids])
+                top = np.lexsort((ids, -np.round(s, 9)), axis=1)[:, :k]
+                kept[key] = (asked.column(0), np.take_along_axis(s, top, 1), np.take_along_axis(ids, top, 1))
+        for names, s, ids in kept.values():
+            m = s.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(names.to_pylist(), dtype=object), m), pa.string()), pa.array(ids.ravel(), pa.int64()), pa.array(s.ravel()), pa.array(np.round(s, 9).ravel())], ["query", "id", "score", "_o"])
+
+    i = valid_vectors(items, vec, dim).select(F.col(id).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("vec"))
+    q = valid_vectors(queries, query_vec, dim).select(F.col(query_id).cast("string").alias("query"), F.col(query_vec).cast("array<double>").alias("vec"))
+    found = _blocks(i, q, dim).mapInArrow(best, "query string, id long, score double, _o double")
+    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("_o"), "id"))).where(F.col("rank") <= k)
     return ranked.select("query", F.col("id").alias(id), "score", "rank")
 
 
-def score_all(items: DataFrame, queries: DataFrame, *, vec: str, query_id: str, query_vec: str) -> DataFrame:
-    """Every item with every query of a small broadcast set (counted against MOST_QUERIES) and their inner product ``score``."""
-    n = queries.limit(MOST_QUERIES + 1).count()
-    if n > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries: score them in parts")
-    q = queries.select(F.col(query_id).alias("query"), F.col(query_vec).alias("_qv"))
-    return items.join(F.broadcast(q)).withColumn("score", dot(F.col(vec), F.col("_qv"))).drop("_qv")
+def score_all(items: DataFrame, queries: DataFrame, *, vec: str, query_id: str, query_vec: str, keep: list[str], dim: int = 64) -> DataFrame:
+    """(query, the item's columns ``keep``, score): every item with every query and their inner product to twelve places, block by block; null where a vector is null or of another dimension."""
+    kinds = dict(items.dtypes)
+
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cols, v, fine, asked, q, asked_fine, _ in _unpacked(batch, dim):
+                s = np.round(v @ q.T, 12)
+                of_item, of_query = np.repeat(np.arange(len(v)), len(q)), np.tile(np.arange(len(q)), len(v))
+                score = pa.array(s.ravel(), mask=~(fine[:, None] & asked_fine[None, :]).ravel(), from_pandas=False)
+                got = [asked.column(0).take(pa.array(of_query)), *(c.take(pa.array(of_item)) for c in cols.columns), score]
+                yield from pa.Table.from_arrays(got, ["query", *keep, "score"]).to_batches(max_chunksize=50_000)
+
+    i = items.select(*keep, F.col(vec).cast("array<double>").alias("_vec"))
+    q = queries.select(F.col(query_id).alias("query"), F.col(query_vec).cast("array<double>").alias("_vec"))
+    return _blocks(i, q, dim).mapInArrow(product, ", ".join([f"query {dict(queries.dtypes)[query_id]}", *(f"`{c}` {kinds[c]}" for c in keep), "score double"]))
 
 
 def per_video(scored: DataFrame, *, video: str, frame: str, k: int, score: str = "score") -> DataFrame:

@@ -11,19 +11,21 @@ from keyreel.plans.base import CANON, REQUESTS, canonical, requests
 from keyreel.session import table
 from keyreel.sources import ingest
 
-_Q = "vec_id IN (1, 2, 3, 4, 5)"
+#: The query vectors, set against all rows. The SQL still names five of its own.
+_Q = "vec_id % 20 = 0"
+_SQL_Q = "vec_id IN (1, 2, 3, 4, 5)"
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select("vec_id", "embedding", "label")
-    return dense.score_all(e, e.where(_Q).select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv")), vec="embedding", query_id="q", query_vec="qv").select("query", "vec_id", "label", "score")
+    return dense.score_all(e, e.where(_Q).select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv")), vec="embedding", query_id="q", query_vec="qv", keep=["vec_id", "label"])
 
 
-_SCORED = f"""sc AS (SELECT q.vec_id AS query, e.vec_id, e.label, list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings e, (SELECT * FROM embeddings WHERE {_Q}) q)"""
+_SCORED = f"""sc AS (SELECT q.vec_id AS query, e.vec_id, e.label, list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings e, (SELECT * FROM embeddings WHERE {_SQL_Q}) q)"""
 
 
 def dense_topk(spark: SparkSession, d: str) -> DataFrame:
-    """Ten nearest vectors of five query vectors."""
+    """Ten nearest vectors of every twentieth vector."""
     e = table(spark, d, "embeddings")
     out = dense.search(e, e.where(_Q).select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv")), id="vec_id", vec="embedding", query_id="q", query_vec="qv", k=10, normalise=False)
     return out.select(F.col("query").cast("long").alias("query"), "vec_id", F.round("score", 6).alias("score"), "rank")

@@ -1,7 +1,9 @@
 """Queries over all their rows, where the registered SQL still names a part of them."""
 
+import numpy as np
 import pytest
 
+from keyreel.operators import dense
 from keyreel.plans import catalogue
 from tests.oracle import compare
 
@@ -21,3 +23,30 @@ def test_every_timed_keyframe_has_a_speech_score(spark, sf_dir):
 
     want = {r["g"] for r in canonical(spark, sf_dir).where("pts_time IS NOT NULL").select("g").collect()}
     assert {r["g"] for r in QUERIES["local_speech_score"](spark, sf_dir).collect()} == want
+
+
+#: The query vectors that the SQL names.
+FIVE = "WHERE vec_id IN (1, 2, 3, 4, 5)"
+
+
+@pytest.mark.parametrize("name", ["dense_topk", "video_max", "zscore_fusion", "clip_top3", "clip_hybrid", "per_video_frames", "margin_route"])
+def test_every_twentieth_vector_is_a_query(spark, sf_dir, name):
+    assert compare(spark, sf_dir, name, QUERIES[name], SQL[name].replace(FIVE, "WHERE vec_id % 20 = 0")) == ""
+
+
+def test_search_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(dense, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(dense, "ITEM_BLOCK", 7)
+    rng = np.random.default_rng(5)
+    v = rng.integers(-2, 3, (60, 64)).astype(float)
+    v[10] = v[50] = v[3]
+    v[7] = 0
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(60, None), (61, [1.0])], "id long, v array<double>").repartition(3)
+    got = {}
+    for r in dense.search(df, df.where("id < 20 OR id >= 60"), id="id", vec="v", query_id="id", query_vec="v", k=4, normalise=False).collect():
+        got.setdefault(int(r["query"]), {})[r["rank"]] = (r["id"], r["score"])
+    s = v @ v.T
+    want = {q: {n + 1: (i, s[q, i]) for n, i in enumerate(sorted((i for i in range(60) if i != 7), key=lambda i: (-s[q, i], i))[:4])} for q in range(20) if q != 7}
+    assert got == want
+    every = dense.score_all(df, df.where("id IN (3, 61)"), vec="v", query_id="id", query_vec="v", keep=["id"]).collect()
+    assert {(r["query"], r["id"]): r["score"] for r in every} == {(q, i): s[3, i] if q == 3 and i < 60 else None for q in (3, 61) for i in range(62)}
