@@ -40,12 +40,21 @@ def allocate_policy(candidates: DataFrame, *, policy: str, budget: int, score: s
 def allocate_reserved(candidates: DataFrame, *, budget: int, specialists: tuple[str, ...] = ("asr", "ocr"), reserve: int = 1, per_video: int = 2, adaptive: bool = True) -> DataFrame:
     """(query, item, place, why): coverage of the ranked videos, reservations per specialist, then depth, at most ``per_video`` of a video.
 
-    Columns: query, item, video_id, video_rank, source, score. The coverage pass takes ``budget - max(1, budget // 6)``
-    places if ``adaptive``. The walk needs one query's shortlist only: before it, each (query, source) is cut to the
-    ``budget`` best and each video to its best ``per_video`` + 1 per source, so no group grows with the corpus.
+    Columns: query, item, video_id, video_rank, source, score; an item belongs to one video. The coverage pass takes
+    ``budget - max(1, budget // 6)`` places if ``adaptive``. The walk gets all that it can look at, and no group grows with
+    the corpus. Coverage and depth: the first ``budget`` videos in the order of their best rows (each gives a place before
+    a later one is reached), with their ``per_video`` best items over all sources. Reservations, by score alone: of each
+    specialist the ``budget + reserve`` best items (at most ``budget`` are taken before).
     """
-    short = candidates.withColumn("_v", F.row_number().over(W.partitionBy("query", "video_id", "source").orderBy(F.desc("score"), "item"))).where(F.col("_v") <= per_video + 1)
-    short = short.withColumn("_s", F.row_number().over(W.partitionBy("query", "source").orderBy("_v", "video_rank", F.desc("score"), "item"))).where(F.col("_s") <= 2 * budget)
+    rows = candidates.select("query", "item", "video_id", "video_rank", "source", "score")
+    once = rows.withColumn("_i", F.row_number().over(W.partitionBy("query", "video_id", "item").orderBy(F.desc("score")))).where("_i = 1").drop("_i")
+    deep = once.withColumn("_v", F.row_number().over(W.partitionBy("query", "video_id").orderBy(F.asc_nulls_last("video_rank"), F.desc("score"), "item"))).where(F.col("_v") <= per_video)
+    first = deep.where("_v = 1").withColumn("_p", F.row_number().over(W.partitionBy("query").orderBy(F.asc_nulls_last("video_rank"), F.desc("score"), "item"))).where(F.col("_p") <= budget)
+    walked = deep.drop("_v").join(first.select("query", "video_id"), ["query", "video_id"], "left_semi").withColumn("special", F.lit(False))
+    own = W.partitionBy("query", "source", "item")
+    best = rows.where(F.col("source").isin(*specialists)).withColumn("_j", F.row_number().over(own.orderBy(F.desc("score")))).where(F.col("_j") <= reserve).withColumn("_b", F.max("score").over(own))
+    best = best.withColumn("_s", F.dense_rank().over(W.partitionBy("query", "source").orderBy(F.desc("_b"), "item"))).where(F.col("_s") <= budget + reserve)
+    short = walked.unionByName(best.drop("_j", "_b", "_s").withColumn("special", F.lit(True)))
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["video_rank", "score", "item"], ascending=[True, False, True])
@@ -57,20 +66,21 @@ def allocate_reserved(candidates: DataFrame, *, budget: int, specialists: tuple[
                 chosen[row.item] = (row.query, row.item, row.video_id, len(chosen) + 1, why)
                 used[row.video_id] = used.get(row.video_id, 0) + 1
 
-        rows = list(pdf.itertuples(index=False))
+        rows = list(pdf[~pdf.special].itertuples(index=False))
+        best = sorted(pdf[pdf.special].itertuples(index=False), key=lambda r: (-r.score, r.item))
         floor = budget - max(1, budget // 6) if adaptive else budget
         for row in rows:
             if len(chosen) < floor and not used.get(row.video_id):
                 take(row, "coverage")
         for s in specialists:
-            for row in [r for r in sorted(rows, key=lambda r: (-r.score, r.item)) if r.source == s and r.item not in chosen][:reserve]:
+            for row in [r for r in best if r.source == s and r.item not in chosen][:reserve]:
                 take(row, f"reserved_{s}")
         for row in rows:
             take(row, "depth")
         return pd.DataFrame(list(chosen.values()), columns=["query", "item", "video_id", "place", "why"])
 
     types = dict(candidates.dtypes)
-    return short.select("query", "item", "video_id", "video_rank", "source", "score").groupBy("query").applyInPandas(pick, f"query {types['query']}, item {types['item']}, video_id {types['video_id']}, place int, why string")
+    return short.groupBy("query").applyInPandas(pick, f"query {types['query']}, item {types['item']}, video_id {types['video_id']}, place int, why string")
 
 
 def allocate_anchors(candidates: DataFrame, *, budget: int, per_video: int = 2) -> DataFrame:
