@@ -3,13 +3,14 @@
 Every random direction is a single-projection sorted array. A vector opens its windows only in the ``tails`` arrays in which
 it lies furthest out: there a query-centred window holds the fewest vectors and a near one is likeliest to lie in it. Two
 vectors that meet in two windows have all further projections counted (a sign each, packed in words); those whose
-collisions exceed the threshold are verified by exact cosine. Virtual rehashing: the window's half-width and the threshold
-follow from the radius asked for; a search without a radius goes on to wider windows until it holds k verified vectors,
-the widest being whole arrays.
+collisions exceed the threshold are verified by exact cosine. The window's half-width and the threshold follow from the
+radius, the number of windows from the radius and the number of arrays; there is one pass, no window is widened later. A
+search without a radius does not go through the arrays: it is exhaustive, in blocks.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -24,8 +25,8 @@ from keyreel.session import BROADCAST_ROWS, cut_table
 
 #: Random directions; each is two arrays, one for either tail. Up to DENSE vectors the least number serves.
 LEAST_DIRECTIONS = 2048
-#: Arrays in which a vector opens a window.
-TAILS = 8
+#: Arrays in which a vector opens a window, with the least number of directions and the radius RADIUS; the recall computed for these is kept at every size.
+TAILS, RADIUS = 8, 0.90
 #: Further projections whose collisions are counted, and the deviations by which a near pair may miss its expected count.
 COUNTED, SPARE = 192, 3.5
 #: Rows of one array from which on it is split by the second array.
@@ -46,6 +47,38 @@ def directions_for(rows: int) -> int:
     return max(LEAST_DIRECTIONS, 1 << math.ceil(math.log2(max(1.0, 3.0 * math.sqrt(rows)))))
 
 
+@functools.cache
+def windows_needed(directions: int, dim: int, at_least: float, pairs: int = 8000, seed: int = SEED + 2) -> np.ndarray:
+    """Of simulated pairs with this cosine, in ascending order, the number of windows a vector with which each pair meets in two arrays."""
+    a, rng, out = _directions(dim, directions), np.random.default_rng(seed), []
+    most = min(directions, 512)
+    for _ in range(0, pairs, 200):
+        x = _unit(rng.standard_normal((200, dim)))
+        y = rng.standard_normal((200, dim))
+        y = _unit(y - (y * x).sum(1, keepdims=True) * x)
+        ranks = []
+        for h in (x @ a, (at_least * x + math.sqrt(1 - at_least**2) * y) @ a):
+            top = np.argpartition(-np.abs(h), most - 1, axis=1)[:, :most]
+            top = np.take_along_axis(top, np.argsort(-np.abs(np.take_along_axis(h, top, 1)), axis=1), 1)
+            ranks.append(top * 2 + (np.take_along_axis(h, top, 1) < 0))
+        for p, q in zip(*ranks):
+            _, i, j = np.intersect1d(p, q, assume_unique=True, return_indices=True)
+            met = np.sort(np.maximum(i, j) + 1)
+            out.append(met[1] if len(met) > 1 else most + 1)
+    return np.sort(out)
+
+
+def tails_for(directions: int, dim: int, at_least: float) -> int:
+    """The fewest windows, TAILS at least, with which the computed recall at the radius is what TAILS give at RADIUS with the least number of directions."""
+    if directions <= LEAST_DIRECTIONS and at_least >= RADIUS:
+        return TAILS
+    wanted = np.searchsorted(windows_needed(LEAST_DIRECTIONS, dim, RADIUS), TAILS, side="right")
+    tails = max(TAILS, int(windows_needed(directions, dim, at_least)[wanted - 1]))
+    if tails >= min(directions, 512):
+        raise ValueError(f"too few arrays for a cosine of {at_least}")
+    return tails
+
+
 def _unit(values: np.ndarray) -> np.ndarray:
     norm = np.linalg.norm(values.astype(np.float64), axis=1, keepdims=True)
     return (values / norm).astype(np.float32)
@@ -57,7 +90,7 @@ def usable(df: DataFrame, vec: str, dim: int) -> DataFrame:
     return df.where((F.size(vec) == dim) & (square > 0) & (square < F.lit(float("inf"))))
 
 
-def signatures(vectors: DataFrame, dim: int, directions: int) -> DataFrame:
+def signatures(vectors: DataFrame, dim: int, directions: int, tails: int) -> DataFrame:
     """(space, row, ckey, sig, code): the arrays with the vector's windows in ascending order; the same with its place in them and packed signs, as bytes.
 
     ``ckey`` is equal for vectors of one direction, whatever their length (up to rounding). Unusable vectors are left out.
@@ -83,7 +116,7 @@ def signatures(vectors: DataFrame, dim: int, directions: int) -> DataFrame:
                 unit = _unit(vals[lo : lo + 1024])
                 h = unit @ a
                 far = np.abs(h)
-                top = np.argpartition(far, directions - TAILS, axis=1)[:, directions - TAILS :]
+                top = np.argpartition(far, directions - tails, axis=1)[:, directions - tails :]
                 value = np.take_along_axis(h, top, 1)
                 sig = top * 2 + (value < 0)
                 order = np.argsort(sig, axis=1)
@@ -96,7 +129,7 @@ def signatures(vectors: DataFrame, dim: int, directions: int) -> DataFrame:
                 ends = lambda width: np.arange(0, (n + 1) * width, width, dtype=np.int32)
                 codes = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends(code.shape[1])), pa.py_buffer(code)])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).slice(lo, n), part.column(1).slice(lo, n), pa.array(ckey), pa.ListArray.from_arrays(pa.array(ends(TAILS)), pa.array(sig.ravel())), codes],
+                    [part.column(0).slice(lo, n), part.column(1).slice(lo, n), pa.array(ckey), pa.ListArray.from_arrays(pa.array(ends(tails)), pa.array(sig.ravel())), codes],
                     ["space", "row", "ckey", "sig", "code"],
                 )
 
@@ -111,7 +144,7 @@ def _sig_type(directions: int) -> type:
 CHUNK_ROWS = 150_000
 
 
-def _meeting(batches: Iterator[pa.RecordBatch], directions: int, window: int, most_apart: int) -> Iterator[pa.RecordBatch]:
+def _meeting(batches: Iterator[pa.RecordBatch], directions: int, tails: int, window: int, most_apart: int) -> Iterator[pa.RecordBatch]:
     """The pairs of a partition, array by array: packed rows are held as they came, only some arrays at a time are unpacked."""
     table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
     if table is None or not table.num_rows:
@@ -123,11 +156,11 @@ def _meeting(batches: Iterator[pa.RecordBatch], directions: int, window: int, mo
     at = 0
     while at < len(order):
         to = int(ends[max(np.searchsorted(ends, at + CHUNK_ROWS, side="right") - 1, np.searchsorted(ends, at, side="right"))])
-        yield from _pairs(table.take(pa.array(order[at:to])), directions, window, most_apart)
+        yield from _pairs(table.take(pa.array(order[at:to])), directions, tails, window, most_apart)
         at = to
 
 
-def _pairs(table: pa.Table, directions: int, window: int, most_apart: int) -> Iterator[pa.RecordBatch]:
+def _pairs(table: pa.Table, directions: int, tails: int, window: int, most_apart: int) -> Iterator[pa.RecordBatch]:
     """Pairs of rows that meet in two windows and collide in enough of the counted projections; each pair is told in one array only."""
     table = table.combine_chunks()
     spaces = table.column("space").combine_chunks().dictionary_encode()
@@ -138,17 +171,17 @@ def _pairs(table: pa.Table, directions: int, window: int, most_apart: int) -> It
     row = table.column("row").to_numpy()
     packed = table.column("code").combine_chunks()
     packed = packed.chunk(0) if isinstance(packed, pa.ChunkedArray) else packed
-    width = TAILS * np.dtype(_sig_type(directions)).itemsize
-    size = width + TAILS + COUNTED // 8
+    width = tails * np.dtype(_sig_type(directions)).itemsize
+    size = width + tails + COUNTED // 8
     raw = np.frombuffer(packed.buffers()[2], np.uint8)[packed.offset * size :][: len(own) * size].reshape(-1, size)
     sig = np.ascontiguousarray(raw[:, :width]).view(_sig_type(directions)).astype(np.int64)
-    far = raw[:, width : width + TAILS].astype(np.int64)
-    words = np.ascontiguousarray(raw[:, width + TAILS :]).view(np.uint64)
+    far = raw[:, width : width + tails].astype(np.int64)
+    words = np.ascontiguousarray(raw[:, width + tails :]).view(np.uint64)
     del table, packed
     at_own = (sig == own[:, None]).argmax(1)
     here = far[np.arange(len(own)), at_own]
     keys, who, place = [], [], []
-    for i in range(1, TAILS):
+    for i in range(1, tails):
         m = np.flatnonzero((i > at_own) & ((second < 0) | (sig[:, i] == second)))
         keys.append((space[m] << 50) | (own[m] << 25) | sig[m, i])
         who.append(m)
@@ -200,7 +233,8 @@ def similar_pairs(vectors: DataFrame, *, space: str, row: str, vec: str, dim: in
     """
     base = vectors.where(F.col(space).isNotNull() & F.col(row).isNotNull() & F.col(vec).isNotNull()).select(F.col(space).cast("string").alias("space"), F.col(row).cast("long").alias("row"), F.col(vec).cast("array<float>").alias("vec"))
     directions = directions or directions_for(base.count())
-    sigs = cut_table(signatures(base, dim, directions))
+    tails = tails_for(directions, dim, at_least)
+    sigs = cut_table(signatures(base, dim, directions, tails))
     classes = sigs.groupBy("space", "ckey").agg(F.min("row").alias("rep"), F.max("row").alias("last")).where("rep < last").drop("last")
     classes = cut_table(classes)
     n_classes = classes.count()
@@ -210,7 +244,7 @@ def similar_pairs(vectors: DataFrame, *, space: str, row: str, vec: str, dim: in
         reps = joined.where("rep IS NULL OR rep = row").drop("rep")
         copies = _bounded(sigs.select("space", "row", "ckey"), classes, ["space", "ckey"], "inner", n_classes).select("space", "rep", "row").distinct()
     # At most two arrays for each direction and space, whatever the rows: the counts are bounded.
-    entry = reps.select("space", "row", "sig", "code", F.explode(F.slice("sig", 1, TAILS - 1)).alias("array"))
+    entry = reps.select("space", "row", "sig", "code", F.explode(F.slice("sig", 1, tails - 1)).alias("array"))
     hot = entry.groupBy("space", "array").agg(F.count("*").alias("n")).where(F.col("n") > HOT_ROWS).select("space", "array", F.lit(True).alias("hot"))
     hot = cut_table(hot)
     if hot.count():
@@ -222,7 +256,7 @@ def similar_pairs(vectors: DataFrame, *, space: str, row: str, vec: str, dim: in
     angle = math.acos(at_least) / math.pi
     most_apart = math.ceil(COUNTED * angle + SPARE * math.sqrt(COUNTED * angle * (1 - angle)))
     window = math.ceil(_STEPS * 3.2 * math.sqrt(2 - 2 * at_least))
-    meet = entry.drop("sig").repartition("space", "array", "second").mapInArrow(lambda it: _meeting(it, directions, window, most_apart), "space string, a long, b long")
+    meet = entry.drop("sig").repartition("space", "array", "second").mapInArrow(lambda it: _meeting(it, directions, tails, window, most_apart), "space string, a long, b long")
     pairs = cut_table(meet.distinct())
     ends = cut_table(pairs.select("space", F.explode(F.array("a", "b")).alias("row")).distinct())
     of = cut_table(_bounded(base, ends, ["space", "row"], "left_semi", ends.count()).dropDuplicates(["space", "row"]))
@@ -331,8 +365,7 @@ def _best(dim: int, k: int):
 def nearest_of_queries(vectors: DataFrame, *, space: str, row: str, vec: str, dim: int, k: int, query: Column) -> DataFrame:
     """(space, row, neighbour, sim, place): the ``k`` most similar vectors of each row for which ``query`` holds, without a radius.
 
-    This is the last level of the rehashing, where each window is a whole array and so every vector exceeds the threshold:
-    the query set is laid against all rows in blocks, by matrix product. A block of queries meets the vectors in ``PARTS``
+    This is exhaustive search and does not use the arrays: the query set is laid against all rows in blocks, by matrix product. A block of queries meets the vectors in ``PARTS``
     tasks, each of which keeps k rows per query while its vectors stream by; only these are merged. Exact; ties (to twelve places) go to the lower row. A row given twice counts once.
     """
     base = usable(vectors.where(F.col(space).isNotNull() & F.col(row).isNotNull()), vec, dim).select(F.col(space).cast("string").alias("space"), F.col(row).cast("long").alias("row"), F.col(vec).cast("array<float>").alias("vec"), query.alias("asked"))
