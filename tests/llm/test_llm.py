@@ -221,20 +221,66 @@ def test_garbled_rows_are_found_and_restored(spark):
     bad = {}
     for i, t in enumerate(CLEAN[:3] + CLEAN[4:5]):
         for c in ("cp1252", "latin-1", "cp1258", "mac_roman", "cp437", "cp1251"):
-            bad[f"{i}{c}"] = (garbled._garble(t, c), t)
-        bad[f"{i}twice"] = (garbled._garble(garbled._garble(t, "cp1252"), "cp1252"), t)
+            bad[f"{i}{c}"] = (garbled.garble(t, c), t)
+        bad[f"{i}twice"] = (garbled.garble(garbled.garble(t, "cp1252"), "cp1252"), t)
         head, _, tail = t.partition(" ")
-        bad[f"{i}part"] = (garbled._garble(head + " hủy", "cp1252") + " " + tail, head + " hủy " + tail)
+        bad[f"{i}part"] = (garbled.garble(head + " hủy", "cp1252") + " " + tail, head + " hủy " + tail)
     data = [(i, t) for i, t in enumerate(clean)] + [(10_000 + i, b) for i, (b, _) in enumerate(bad.values())] + [(20_000, None), (20_001, ""), (20_002, "  "), (20_003, "mất ch�"), (20_004, LONG), (None, "GiÃ³")]
     df = spark.createDataFrame([(*x, True, 1.0) for x in data + data[:5]], "row long, text string, garbled boolean, gain double")
     got = {r["row_id"]: r["restored"] for r in garbled.find_garbled({"t": (df, "row", "text")}).collect()}
     assert set(got) == {10_000 + i for i in range(len(bad))} | {20_003}
     right = sum(got[10_000 + i] == t for i, (_, t) in enumerate(bad.values()))
     assert right >= 0.9 * len(bad)
-    again = garbled.garbled_flags(df, "text", garbled.CharModel(np.zeros((3, garbled.BUCKETS))), 10.0)
+    again = garbled.garbled_flags(df, "text", garbled.CharModel(np.zeros((4, garbled.BUCKETS))), 10.0)
     assert sorted(again.columns) == ["chain", "gain", "garbled", "restored", "row", "text"]
 
 
+@pytest.mark.parametrize("codec", garbled.CODECS)
+def test_one_misread_word_per_codec(codec):
+    rng = random.Random(11)
+    words = sorted({w for t in CLEAN for w in t.split()})
+    model = garbled.CharModel(garbled._counts([" ".join(rng.sample(words, 9)) for _ in range(3000)]))
+    found = right = 0
+    texts = [" ".join(rng.sample(words, 9)) for _ in range(150)]
+    for t in texts:
+        w = rng.choice([w for w in t.split() if not w.isascii()])
+        bad = t.replace(w, garbled.garble(w, codec), 1)
+        is_garbled, restored, _, _ = garbled.judge(model, 15.0, bad)
+        found, right = found + is_garbled, right + (restored == t)
+    assert found >= 0.95 * len(texts) and right >= 0.9 * len(texts)
+
+
+def test_every_chain_is_tried():
+    twice = garbled.garble(garbled.garble(CLEAN[0], "mac_roman"), "cp866")
+    assert CLEAN[0] in [t for _, t in garbled.candidates(twice)]
+    assert CLEAN[0] in [t for _, t in garbled.candidates(garbled.garble(twice, "cp1251"))]
+
+
+def test_margin_lies_between_clean_and_garbled():
+    hist = np.zeros((2, 2 * garbled._REACH * garbled._STEPS), dtype=np.int64)
+    at = lambda nats: int((nats + garbled._REACH) * garbled._STEPS)
+    hist[0, at(-30)], hist[0, at(4)], hist[1, at(9)], hist[1, at(60)] = 900, 100, 100, 900
+    assert 4 < garbled.margin_of(hist) <= 9
+    hist[0, at(4)], hist[0, at(2)], hist[1, at(9)], hist[1, at(3)] = 0, 100, 0, 100
+    assert 2 < garbled.margin_of(hist) <= 3  # no bound keeps it up
+    assert garbled.margin_of(hist * 0) == 0.0
+
+
+def test_held_out_records_do_not_train(spark):
+    df = spark.createDataFrame([(f"câu số {i} ở đây",) for i in range(2000)], "text string")
+    held = df.where(garbled._HELD).count()
+    assert 0 < held < 200 and garbled.train(df).c[0].sum() < sum(len(f"câu số {i} ở đây") for i in range(2000)) * (1 - held / 4000)
+    hist = garbled.gains(df, garbled.train(df))
+    assert hist[1].sum() <= held and hist[0].sum() == 8 * held
+
+
+def test_marks_are_alike_in_both_engines():
+    import pyarrow as pa
+
+    texts = ["", "abc", "đã “à”", "gi cÃ khi Ã lÃ  ", "ã¡", *CLEAN] + [garbled.garble(t, c) for t in CLEAN for c in garbled.CODECS]
+    assert garbled.marked(pa.array([*texts, None])).tolist() == [garbled.has_marks(t) for t in texts] + [False]
+
+
 def test_nothing_garbled(spark):
     df = spark.createDataFrame([], "row long, text string")
     assert garbled.find_garbled({"t": (df, "row", "text")}).count() == 0
