@@ -32,7 +32,7 @@ ORDERS = (1, 2, 3)
 _BLOCK_BITS = 7
 _MIX = np.array([1, 1_000_003, 998_244_353], dtype=np.uint64)
 #: One clean record in so many is kept from training and validates the margin.
-HELD_OUT = 20
+HELD_OUT = 50
 #: Steps of a nat in the histograms of gains, and their reach in nats: gains beyond it count in the outermost step.
 _STEPS, _REACH = 2, 500
 
@@ -368,7 +368,7 @@ def margin_of(hist: np.ndarray) -> float:
 
 
 def validate(texts: DataFrame, model: CharModel) -> float:
-    """The margin, from the held-out twentieth of the clean records that the model has not seen."""
+    """The margin, from the held-out part of the clean records that the model has not seen."""
     return margin_of(gains(texts, model))
 
 

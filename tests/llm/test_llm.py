@@ -1,8 +1,10 @@
 """Edge cases of every operator of the subpackage, each against brute force or an exact round trip."""
 
 import base64
+import itertools
 import math
 import random
+import time as clock
 
 import numpy as np
 import pytest
@@ -202,6 +204,29 @@ def test_runs_against_brute_force(spark):
     assert got == exp and exp
 
 
+def test_segmentation_is_optimal():
+    rng = random.Random(12)
+    for _ in range(200):
+        texts = ["x" * 10]
+        while len(texts) < 9:
+            t = list(texts[-1])
+            for i in rng.sample(range(10), rng.choice([0, 1, 2, 3])):
+                t[i] = rng.choice("xyz")
+            texts.append("".join(t))
+        step = [levenshtein(a, b) / 10 for a, b in zip(texts, texts[1:])]
+        best = min((round(sum(c for c, cut in zip(step, cuts) if not cut) + 0.2 * (1 + sum(cuts)), 9), sum(cuts)) for cuts in itertools.product([0, 1], repeat=8))
+        program = runs.Segmenter(0.2)
+        done = sum(program.add("v", float(i), i, t) is not None for i, t in enumerate(texts))
+        assert program.cost == pytest.approx(best[0]) and done == best[1]
+
+
+def test_one_long_run_of_nearly_equal_rows():
+    program, began = runs.Segmenter(0.1), clock.time()
+    for i in range(100_000):
+        assert program.add("v", float(i), i, f"Kênh 1 trực tiếp từ trường quay lúc {i % 60:02d}") is None
+    assert program.run.n == 100_000 and clock.time() - began < 20
+
+
 def test_runs_reach_over_partitions(spark):
     df = spark.createDataFrame([(i, "v", float(i), 0, "one text") for i in range(500)], "row long, v string, t double, k long, text string")
     r = runs.collapse_runs(df, row="row", entity="v", time="t", order="k", text="text").collect()
@@ -345,10 +370,29 @@ def test_remembered_words_are_bounded(monkeypatch):
 # ---- mixing
 
 
-def test_entry_rates_invert_poisson():
-    lam, k = np.array([0.3, 1.0, 4.0]), np.array([1, 2, 5])
-    tail = np.array([1 - sum(math.exp(-x) * x**j / math.factorial(j) for j in range(n)) for x, n in zip(lam, k)])
-    assert np.allclose(mixing._entry_rates(tail, k), lam, atol=1e-9)
+@pytest.mark.parametrize("cap", [1, 2, 5, 40, 200, 1000])
+def test_counts_invert_poisson(spark, cap):
+    rng = np.random.default_rng(4)
+    u, lam = rng.uniform(1e-12, 1, 300), rng.choice([0.0, 0.01, 0.3, 1.0, 7.5, 60.0, 150.0, 900.0, 2000.0], 300)
+    df = spark.createDataFrame([(float(a), float(b), cap) for a, b in zip(u, lam)], "u double, rate double, cap int")
+    got = [r["n"] for r in df.select(mixing._copies(F.col("u"), F.col("rate"), F.col("cap")).alias("n")).collect()]
+    for a, b, n in zip(u, lam, got):
+        tail, p, k = 0.0, [], 0  # copies: how many k have P(X >= k) >= u
+        if b:
+            logs = [-b + j * math.log(b) - math.lgamma(j + 1) for j in range(cap + 1)]
+            below = np.concatenate(([0.0], np.cumsum(np.exp(logs))))
+            k = sum(1 - below[j] >= a for j in range(1, cap + 1))
+        assert n == k or abs(n - k) <= 1 and any(abs(1 - below[j] - a) < 1e-9 for j in range(1, cap + 1)), (a, b, n, k)
+
+
+def test_caps_beyond_a_hundred_and_fifty(spark):
+    df = spark.createDataFrame([(i, "few", 10) for i in range(40)] + [(1000 + i, "many", 10) for i in range(4000)], "doc_id long, source string, n_tokens long")
+    goals = spark.createDataFrame([("few", 0.5, 400), ("many", 0.5, 2)], "source string, target_share double, max_repeats int")
+    sel, rep = mixing.mix_sources(df, goals, id="doc_id", source="source", size="n_tokens", total=240_000.0)
+    got = {r["source"]: r for r in rep.collect()}
+    assert got["few"]["tokens"] == pytest.approx(120_000, rel=0.02) and got["few"]["most_copies"] > 250 and got["many"]["tokens"] == 80_000
+    _, rep = mixing.mix_sources(df, goals, id="doc_id", source="source", size="n_tokens", total=10_000_000.0)
+    assert {r["source"]: r["copies"] for r in rep.collect()} == {"few": 16_000, "many": 8000}
 
 
 def test_shares_caps_and_defaults(spark):
