@@ -1,9 +1,10 @@
 """Mixing sources to target weights by Poisson replication.
 
-A document's uniform number is a hash of its id and the seed. The number of copies is the inverse of the Poisson
-distribution at that number, cut at the source's cap: copy k is taken from the rate at which P(X >= k) reaches the number.
-So every (document, copy) has one rate of entry, and a source's tokens are a step function of its rate; the rate that
-gives the target is found by counting tokens below midpoints, for all sources at once.
+A document's uniform number u is a hash of its id and the seed. At a source's repetition rate it has as many copies as the
+inverse of the Poisson distribution of that mean gives at u, cut at the source's cap: copy k is there if P(X >= k) >= u.
+The tails P(X >= k) are one short array per source, so counts are column expressions and a document is exploded only by
+its own count. The rate that meets the target is found for all sources at once: a histogram of u brackets it, and passes
+over the documents whose count still differs between the ends of the bracket narrow it.
 """
 
 from __future__ import annotations
@@ -11,34 +12,53 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyreel.session import cut_table
 
-SLOTS = 256
-#: Passes of 8 bits each: rates are told apart to one part in 2**40.
-PASSES = 5
+#: Cells of the histogram of u per source.
+BINS = 4096
+#: Parts into which a pass cuts the bracket, and the number of passes: rates are told apart to about one part in 2**30.
+PARTS, PASSES = 64, 3
 
 
-def _entry_rates(u: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """The Poisson rate at which P(X >= k) = u, by bisection; u in (0, 1)."""
-    lo, hi = np.zeros(len(u)), np.full(len(u), 64.0) + 2.0 * k
-    top = int(k.max()) if len(k) else 0
-    fact = np.array([math.factorial(j) for j in range(max(top, 1))], dtype=float)
-    for _ in range(60):
-        mid = (lo + hi) / 2
-        below = np.zeros(len(u))
-        for j in range(top):
-            below += np.where(j < k, mid**j / fact[j], 0.0)
-        enough = 1 - np.exp(-mid) * below >= u
-        hi, lo = np.where(enough, mid, hi), np.where(enough, lo, mid)
-    return hi
+def _tails(rate: float, cap: int) -> np.ndarray:
+    """P(X >= k) for k = 1 .. cap, X Poisson of this mean, as far as it is above 2**-54, the least u; computed in logarithms, so that any cap and mean will do."""
+    if rate <= 0:
+        return np.zeros(0)
+    if math.isinf(rate):
+        return np.ones(cap)
+    n = int(min(cap, math.ceil(rate + 12 * math.sqrt(rate) + 60)))
+    j = np.arange(n)
+    logs = -rate + j * math.log(rate) - np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, n)))))[:n]
+    tail = 1 - np.cumsum(np.exp(logs))
+    return np.minimum.accumulate(tail[tail > 2.0**-54])
 
 
-def _rates(u: pd.Series, k: pd.Series) -> pd.Series:
-    return pd.Series(_entry_rates(u.to_numpy(), k.to_numpy()))
+def _copies(u: Column, tails: Column) -> Column:
+    """How many copies there are at ``u``: the tails that reach it."""
+    return F.size(F.filter(tails, lambda x: x >= u))
+
+
+def _bracket(cells: np.ndarray, goal: float, cap: int) -> tuple[float, float]:
+    """Rates between which the tokens pass ``goal``, from the tokens per cell of u."""
+    upto = np.concatenate(([0], np.cumsum(cells)))
+    least = lambda rate: upto[np.floor(_tails(rate, cap) * BINS).astype(int)].sum()
+    most = lambda rate: upto[np.minimum(BINS, np.ceil(_tails(rate, cap) * BINS).astype(int) + 1)].sum()
+    limit = cap + 12 * math.sqrt(cap) + 60
+    top = 1.0
+    while top < limit and least(top) <= goal:
+        top *= 2
+
+    def border(passes) -> tuple[float, float]:
+        lo, hi = 0.0, top
+        for _ in range(60):
+            mid = (lo + hi) / 2
+            lo, hi = (lo, mid) if passes(mid) else (mid, hi)
+        return lo, hi
+
+    return border(lambda r: most(r) > goal)[0], border(lambda r: least(r) > goal)[1]
 
 
 def mix_sources(docs: DataFrame, targets: DataFrame, *, id: str, source: str, size: str, total: float | None = None, seed: int = 17) -> tuple[DataFrame, DataFrame]:
@@ -62,28 +82,32 @@ def mix_sources(docs: DataFrame, targets: DataFrame, *, id: str, source: str, si
     budget = min((room[s] / share[s] for s in share), default=0.0) if total is None else float(total)
     goal = {s: float(min(share[s] * budget, room[s])) for s in share}
     session = docs.sparkSession
-    caps = session.createDataFrame([(r["source"], r["max_repeats"], goal[r["source"]]) for r in live], "source string, cap int, goal double")
     uniform = (F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
-    copies = wanted.join(F.broadcast(caps), "source").withColumn("u", uniform).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("cap"))))
-    copies = cut_table(copies.select("id", "source", "size", "copy", F.pandas_udf(_rates, "double")("u", "copy").alias("rate")))
-    # Per source the open interval of the rate and the tokens below it; as many rows as there are sources.
-    state = {s: [0.0, 64.0 + 2.0 * 64, 0] for s in share}
+    docs_u = wanted.withColumn("u", uniform)
+    cells: dict[str, np.ndarray] = {s: np.zeros(BINS) for s in share}
+    for r in docs_u.groupBy("source", F.floor(F.col("u") * BINS).cast("int").alias("bin")).agg(F.sum("size").alias("n")).collect():  # BINS per source at most
+        if r["source"] in cells:
+            cells[r["source"]][min(r["bin"], BINS - 1)] += r["n"]
+    cap = {r["source"]: r["max_repeats"] for r in live}
+    rates = {s: (math.inf, math.inf) if goal[s] >= room[s] else _bracket(cells[s], goal[s], cap[s]) for s in share}
+    rows = lambda named: session.createDataFrame([(s, *x) for s, x in named.items()], "source string, lo array<double>, hi array<double>, mids array<array<double>>")
     for _ in range(PASSES):
-        if not state:
+        steps = {s: np.linspace(lo, hi, PARTS + 1) for s, (lo, hi) in rates.items() if lo < hi}
+        if not steps:
             break
-        now = session.createDataFrame([(s, *x[:2]) for s, x in state.items()], "source string, lo double, hi double")
-        slot = F.floor((F.col("rate") - F.col("lo")) / (F.col("hi") - F.col("lo")) * SLOTS).cast("int")
-        counts = copies.join(F.broadcast(now), "source").where("rate > lo AND rate <= hi").groupBy("source", F.least(slot, F.lit(SLOTS - 1)).alias("slot")).agg(F.sum("size").alias("n"), F.max("rate").alias("most")).collect()
-        for s, x in state.items():
-            below, lo, hi = x[2], x[0], x[1]
-            for r in sorted((r for r in counts if r["source"] == s), key=lambda r: r["slot"]):
-                if below + r["n"] > goal[s] + 1e-9:
-                    hi = r["most"]
-                    break
-                below, lo = below + r["n"], r["most"]
-            state[s] = [lo, hi, below]
-    cutoff = session.createDataFrame([(s, x[0]) for s, x in state.items()], "source string, upto double")
-    chosen = copies.join(F.broadcast(cutoff), "source").where("rate <= upto")
+        state = rows({s: (_tails(x[0], cap[s]).tolist(), _tails(x[-1], cap[s]).tolist(), [_tails(r, cap[s]).tolist() for r in x[1:-1]]) for s, x in steps.items()})
+        known = docs_u.join(F.broadcast(state), "source").withColumn("n", _copies(F.col("u"), F.col("lo")))
+        # One number per midpoint is collected, and only documents whose count differs over the bracket are laid against them.
+        base = {r["source"]: r["n"] for r in known.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("n")).collect()}
+        moving = known.where(_copies(F.col("u"), F.col("hi")) > F.col("n")).select("source", "size", "u", "n", F.posexplode("mids").alias("at", "tails"))
+        more = {(r["source"], r["at"]): r["n"] for r in moving.groupBy("source", "at").agg(F.sum(F.col("size") * (_copies(F.col("u"), F.col("tails")) - F.col("n"))).alias("n")).collect()}
+        for s, x in steps.items():
+            tokens = [base.get(s, 0) + more.get((s, i), 0) for i in range(PARTS - 1)]
+            at = int(np.searchsorted(tokens, goal[s] + 1e-9, side="right"))  # tokens grow with the rate
+            rates[s] = (float(x[at]), float(x[at + 1]))
+    final = session.createDataFrame([(s, _tails(lo, cap[s]).tolist()) for s, (lo, _) in rates.items()], "source string, tails array<double>")
+    chosen = docs_u.join(F.broadcast(final), "source").withColumn("n", _copies(F.col("u"), F.col("tails"))).where("n > 0")
+    chosen = chosen.select("id", "source", "size", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
     place = F.xxhash64("id", "copy", F.lit(seed + 1))
     selection = chosen.select(F.col("id").alias(id), "copy", "source", F.col("size").alias(size), place.alias("place")).orderBy("place", id, "copy")
     got = chosen.groupBy("source").agg(F.sum("size").alias("tokens"), F.countDistinct("id").alias("documents"), F.count("*").alias("copies"), F.max("copy").alias("most_copies"))

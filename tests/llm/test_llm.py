@@ -374,8 +374,8 @@ def test_remembered_words_are_bounded(monkeypatch):
 def test_counts_invert_poisson(spark, cap):
     rng = np.random.default_rng(4)
     u, lam = rng.uniform(1e-12, 1, 300), rng.choice([0.0, 0.01, 0.3, 1.0, 7.5, 60.0, 150.0, 900.0, 2000.0], 300)
-    df = spark.createDataFrame([(float(a), float(b), cap) for a, b in zip(u, lam)], "u double, rate double, cap int")
-    got = [r["n"] for r in df.select(mixing._copies(F.col("u"), F.col("rate"), F.col("cap")).alias("n")).collect()]
+    df = spark.createDataFrame([(float(a), mixing._tails(float(b), cap).tolist()) for a, b in zip(u, lam)], "u double, tails array<double>")
+    got = [r["n"] for r in df.select(mixing._copies(F.col("u"), F.col("tails")).alias("n")).collect()]
     for a, b, n in zip(u, lam, got):
         tail, p, k = 0.0, [], 0  # copies: how many k have P(X >= k) >= u
         if b:
