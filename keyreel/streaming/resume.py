@@ -44,14 +44,23 @@ def first_deliveries(events: DataFrame, *, key: list[str], time: str, late: str
     return events.withWatermark(time, late).dropDuplicatesWithinWatermark(key)
 
 
-def track_orphans(spark: SparkSession, refs: DataFrame, parents: Callable[[object], DataFrame], checkpoint: str) -> tuple[StreamingQuery, OrphanTracker]:
-    """A stream of references (ref_field, video, val, t, ...) through an orphan tracker; ``parents(until)`` gives the parents that have arrived since the last batch."""
-    tracker = OrphanTracker()
+def track_orphans(refs: DataFrame, events: DataFrame, tracker: OrphanTracker, checkpoint: str) -> StreamingQuery:
+    """A stream of references (ref_field, video, val, t, ids) through an orphan tracker; ``events`` is the log of parent events with their time of arrival ``at``.
 
-    def step(batch: DataFrame, _: int) -> None:
+    A batch takes in the events that arrived after those of the last one and up to its own latest reference. All state is
+    in the tracker's folder under the batch's number: a batch that runs again replaces what it had written, and a stream
+    started again with a tracker on the same folder goes on from there.
+    """
+    spark, folder = tracker.spark, f"{tracker.folder}/until"
+
+    def step(batch: DataFrame, number: int) -> None:
         rows = cut_table(batch)
         until = rows.agg(F.max("t")).first()[0]
-        if until is not None:
-            tracker.step(rows, parents(until), F.lit(until))
-
-    return refs.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(), tracker
+        if until is None:
+            return
+        spark.createDataFrame([(until,)], "until timestamp").write.mode("overwrite").parquet(f"{folder}/period={number}")
+        before = spark.read.schema("until timestamp, period int").parquet(folder).where(F.col("period") < number).agg(F.max("until")).first()[0]
+        fresh = events.where(F.col("at") <= F.lit(until))
+        tracker.step(number, rows, fresh if before is None else fresh.where(F.col("at") > F.lit(before)), F.lit(until))
+
+    return refs.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

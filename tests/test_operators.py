@@ -27,35 +27,75 @@ PAR = "ref_field string, video string, val long, from_t timestamp, to_t timestam
 
 def tracked(spark, refs, parents, cuts):
     """The orphans after a replay that is cut at the given days."""
-    tracker, low = OrphanTracker(), -1
-    for until in cuts:
+    tracker, low = OrphanTracker(spark, {"name": "string"}), -1
+    for n, until in enumerate(cuts):
         r = [x for x in refs if x[3] is None or low < (x[3] - day(0)).days <= until]
-        p = [x for x in parents if low < (x[3] - day(0)).days <= until]
-        tracker.step(spark.createDataFrame(r, REF), spark.createDataFrame(p, PAR), F.lit(day(until)))
+        p = [x[:5] for x in parents if low < ((x[5] if len(x) > 5 else x[4] or x[3]) - day(0)).days <= until]
+        tracker.step(n, spark.createDataFrame(r, REF), spark.createDataFrame(p, PAR), F.lit(day(until)))
         low = until
     return tracker
 
 
 def test_orphans_do_not_depend_on_periods(spark):
     refs = [("v", "A", 0, day(1), "early"), ("v", "A", 0, day(5), "fine"), ("v", "B", 0, day(9), "gone"), ("v", "C", 0, day(2), "never"), ("v", None, 0, day(2), "null"), ("v", "A", 0, None, "no time"), ("v", "A", 0, day(5), "fine again")]
-    parents = [("v", "A", 0, day(3), None), ("v", "A", 0, day(3), None), ("v", "B", 0, day(0), day(7))]
+    parents = [("v", "A", 0, day(3), None), ("v", "A", 0, day(3), None), ("v", "B", 0, day(0), None), ("v", "B", 0, day(0), day(7))]
     for cuts in ([20], [1, 4, 8, 20], [2, 9, 20]):
-        got = rows(tracked(spark, refs, parents, cuts).orphans, "name", "status")
+        got = rows(tracked(spark, refs, parents, cuts).orphans(), "name", "status")
         assert got == [("early", LATER), ("gone", REMOVED), ("never", NEVER)], cuts
 
 
 def test_orphans_reopen_on_deletion(spark):
     refs = [("v", "A", 0, day(1), "x")]
-    tracker = tracked(spark, refs, [("v", "A", 0, day(3), day(6))], [2, 4, 8])
-    r = tracker.orphans.first()
-    assert (r["status"], r["resolved_at"], r["reopened_at"]) == (LATER, day(3), day(6))
-    assert [s.first()["open"] for s in tracker.snapshots] == [1, 0, 1]
+    for going in (("v", "A", 0, day(3), day(6)), ("v", "A", 0, None, day(6))):
+        tracker = tracked(spark, refs, [("v", "A", 0, day(3), None), going], [2, 4, 8])
+        r = tracker.orphans().first()
+        assert (r["status"], r["resolved_at"], r["reopened_at"]) == (LATER, day(3), day(6))
+        assert rows(tracker.counts(), "period", "status", "orphans", "open") == [(0, NEVER, 1, 1), (1, LATER, 1, 0), (1, NEVER, 0, 0), (2, LATER, 1, 1)]
+
+
+def test_a_deletion_in_a_later_period_makes_orphans(spark):
+    for going in (("v", "A", 0, day(1), day(5)), ("v", "A", 0, None, day(5))):
+        refs = [("v", "A", 0, day(2), "before"), ("v", "A", 0, day(6), "after"), ("v", "A", 0, day(9), "back")]
+        tracker = tracked(spark, refs, [("v", "A", 0, day(1), None), going, ("v", "A", 0, day(8), None)], [3, 7, 20])
+        assert rows(tracker.orphans(), "name", "status", "resolved_at") == [("after", REMOVED, day(8))]
+
+
+def test_only_named_keys_are_judged_again(spark):
+    refs = [("v", k, 0, day(1), k) for k in "ABC"]
+    tracker = tracked(spark, refs, [("v", "A", 0, day(3), None)], [2, 4, 6])
+    log = spark.read.parquet(f"{tracker.folder}/orphans")
+    assert rows(log.groupBy("period").count()) == [(0, 3), (1, 1)]
+
+
+def test_hot_keys_of_a_large_parent_index(spark, monkeypatch):
+    from keyreel import session
+
+    refs = [("v", "A", 0, day(5), f"a{i}") for i in range(50)] + [("v", "B", 0, day(1), "b"), ("v", "C", 0, day(1), "c")]
+    parents = [("v", "A", 0, day(3), None), ("v", "B", 0, day(2), None)]
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(session, "HOT_ROWS", 10)
+    assert rows(tracked(spark, refs, parents, [20]).orphans(), "name", "status") == [("b", LATER), ("c", NEVER)]
+
+
+def test_a_stream_of_references_goes_on_after_a_restart(spark, tmp_path):
+    events = spark.createDataFrame([("v", "A", 0, day(1), None, day(1)), ("v", "A", 0, None, day(5), day(5)), ("v", "C", 0, day(4), None, day(4))], f"{PAR}, at timestamp")
+    files = [[("v", "A", 0, day(2), "before"), ("v", "C", 0, day(2), "c")], [("v", "A", 0, day(6), "after"), ("v", "B", 0, day(6), "b")]]
+    for n, part in enumerate(files):
+        spark.createDataFrame(part, REF).coalesce(1).write.mode("append").parquet(f"{tmp_path}/refs")
+        stream = spark.readStream.schema(REF).parquet(f"{tmp_path}/refs")
+        tracker = OrphanTracker(spark, {"name": "string"}, f"{tmp_path}/state")  # nothing is kept but the folder
+        assert resume.track_orphans(stream, events, tracker, f"{tmp_path}/check").awaitTermination(60)
+        assert len(tracker.orphans().collect()) == [1, 3][n]
+    want = [("after", REMOVED), ("b", NEVER), ("c", LATER)]
+    assert rows(tracker.orphans(), "name", "status") == want
+    tracker.step(1, spark.createDataFrame(files[1], REF), events.where(F.col("at") > F.lit(day(2))).drop("at"), F.lit(day(6)))
+    assert rows(tracker.orphans(), "name", "status") == want  # a batch that runs again changes nothing
 
 
 def test_orphans_of_empty_tables(spark):
-    tracker = OrphanTracker()
-    tracker.step(spark.createDataFrame([], REF), spark.createDataFrame([], PAR), F.lit(day(1)))
-    assert tracker.orphans.count() == 0
+    tracker = OrphanTracker(spark, {"name": "string"})
+    tracker.step(0, spark.createDataFrame([], REF), spark.createDataFrame([], PAR), F.lit(day(1)))
+    assert tracker.orphans().count() == 0 and tracker.counts().count() == 0
 
 
 def test_orphan_tables_with_nulls_repeats_and_extra_columns(spark, tmp_path):
