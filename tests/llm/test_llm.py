@@ -330,9 +330,11 @@ def test_top_n_against_brute_force(spark):
 
 
 def test_top_n_of_many_groups_is_salted(spark, monkeypatch):
+    from keyreel import session
     from keyreel.llm import top_n
 
-    monkeypatch.setattr(top_n, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(top_n, "HOT_ROWS", 100)
     df = spark.range(4000).select("id", (F.col("id") % 3).cast("string").alias("v"), (F.col("id") % 7).cast("double").alias("s"))
     got = rows(top_n.top_n_per_group(df, group="v", score="s", n=3, ties=[], row_id="id"), "v", "id")
     exp = [(str(v), i) for v in range(3) for i in sorted((x for x in range(4000) if x % 3 == v), key=lambda x: (-(x % 7), x))[:3]]
