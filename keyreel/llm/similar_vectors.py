@@ -1,11 +1,13 @@
-"""The most similar vectors of every vector by collision counting.
-
-Every random direction is a single-projection sorted array. A vector opens its windows only in the ``tails`` arrays in which
-it lies furthest out: there a query-centred window holds the fewest vectors and a near one is likeliest to lie in it. Two
-vectors that meet in two windows have all further projections counted (a sign each, packed in words); those whose
-collisions exceed the threshold are verified by exact cosine. The window's half-width and the threshold follow from the
-radius, the number of windows from the radius and the number of arrays; there is one pass, no window is widened later. A
-search without a radius does not go through the arrays: it is exhaustive, in blocks.
+"""The most similar vectors of every vector by collision counting with virtual rehashing.
+
+Every random direction is a single-projection sorted array. A vector is kept in the ``tails`` arrays in which it lies
+furthest out: there a window around it holds the fewest vectors and a near one is likeliest to lie in it. Two vectors are
+laid against each other where they meet in the windows of two arrays. Then their collisions are counted: the projections on
+a random orthonormal basis, stored in a byte each, that lie in a window around the query's. Windows start narrow and are
+widened level by level (virtual rehashing: radius after radius, with a window and a collision threshold computed for each);
+a vector for which a level has brought k vectors within its radius opens no wider window. Those that collide often enough
+are ranked by the stored projections while the arrays are read, and only the best of every vector leave a task; these are
+verified by exact cosine.
 """
 
 from __future__ import annotations
@@ -25,15 +27,21 @@ from keyreel.session import BROADCAST_ROWS, cut_table
 
 #: Random directions; each is two arrays, one for either tail. Up to DENSE vectors the least number serves.
 LEAST_DIRECTIONS = 2048
-#: Arrays in which a vector opens a window, with the least number of directions and the radius RADIUS; the recall computed for these is kept at every size.
+#: Arrays in which a vector is kept, with the least number of directions and the radius RADIUS; the recall computed for these is kept at every size.
 TAILS, RADIUS = 8, 0.90
-#: Further projections whose collisions are counted, and the deviations by which a near pair may miss its expected count.
-COUNTED, SPARE = 192, 3.5
-#: Rows of one array from which on it is split by the second array.
+#: Cosines of the levels of virtual rehashing before the last one, the radius asked for.
+LEVELS = (0.98, 0.95)
+#: Half-width of a counting window in standard deviations of what a pair at the level's radius differs by in a projection, and the deviations by which such a pair may miss its expected collisions.
+WIDTH, SPARE = 1.0, 3.5
+#: Candidates that leave a task for every neighbour asked for: their ranks come from projections in bytes, exact cosines decide.
+RANKED = 3
+#: Rows of one array from which on it is split by the second array, and of one such cell from which on it is split in groups laid against each other.
 HOT_ROWS = 100_000
 SEED = 20_240_229
 #: Steps of a stored projection value in units of the standard deviation.
 _STEPS = 32
+#: Steps of a byte on the orthonormal basis, in units of the standard deviation: bytes reach to four deviations on either side.
+_BYTE = 127 / 4
 
 
 def _directions(dim: int, n: int) -> np.ndarray:
@@ -42,6 +50,22 @@ def _directions(dim: int, n: int) -> np.ndarray:
     return a / np.linalg.norm(a, axis=0)
 
 
+def _basis(dim: int) -> np.ndarray:
+    q, r = np.linalg.qr(np.random.default_rng(SEED + 3).standard_normal((dim, dim)))
+    return (q * np.sign(np.diag(r))).astype(np.float32)
+
+
+def levels_of(dim: int, at_least: float) -> list[tuple[float, int, int, int]]:
+    """(cosine, window in an array, window of a byte, collisions needed) of each level, narrowest first; the last is at the radius."""
+    out = []
+    inside = math.erf(WIDTH / math.sqrt(2))
+    for cos in [c for c in LEVELS if c > at_least] + [at_least]:
+        apart = math.sqrt(2 - 2 * cos)
+        need = math.floor(dim * inside - SPARE * math.sqrt(dim * inside * (1 - inside)))
+        out.append((cos, math.ceil(_STEPS * 3.2 * apart), math.ceil(_BYTE * WIDTH * apart), max(1, need)))
+    return out
+
+
 def directions_for(rows: int) -> int:
     """Grows with the square root of the rows, so that the pairs meeting twice stay in proportion to the rows."""
     return max(LEAST_DIRECTIONS, 1 << math.ceil(math.log2(max(1.0, 3.0 * math.sqrt(rows)))))
@@ -91,13 +115,14 @@ def usable(df: DataFrame, vec: str, dim: int) -> DataFrame:
 
 
 def signatures(vectors: DataFrame, dim: int, directions: int, tails: int) -> DataFrame:
-    """(space, row, ckey, sig, code): the arrays with the vector's windows in ascending order; the same with its place in them and packed signs, as bytes.
+    """(space, row, ckey, sig, code): the vector's arrays in ascending order; the same with its place in them and its projections on the basis, as bytes.
 
     ``ckey`` is equal for vectors of one direction, whatever their length (up to rounding). Unusable vectors are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = _directions(dim, directions)
+        a, basis = _directions(dim, directions), _basis(dim)
+        step = max(16, min(1024, (1 << 21) // directions))  # rows whose projections are held at once
         mix = np.random.default_rng(SEED + 1).integers(1, 1 << 62, size=dim, dtype=np.int64) | 1
         scale = math.sqrt(dim) * _STEPS
         for batch in batches:
@@ -112,8 +137,8 @@ def signatures(vectors: DataFrame, dim: int, directions: int, tails: int) -> Dat
             fine = np.flatnonzero(np.isfinite(size) & (size > 0))
             if len(fine) < part.num_rows:
                 part, vals = part.take(pa.array(fine)), vals[fine]
-            for lo in range(0, part.num_rows, 1024):
-                unit = _unit(vals[lo : lo + 1024])
+            for lo in range(0, part.num_rows, step):
+                unit = _unit(vals[lo : lo + step])
                 h = unit @ a
                 far = np.abs(h)
                 top = np.argpartition(far, directions - tails, axis=1)[:, directions - tails :]
@@ -122,10 +147,10 @@ def signatures(vectors: DataFrame, dim: int, directions: int, tails: int) -> Dat
                 order = np.argsort(sig, axis=1)
                 sig = np.take_along_axis(sig, order, 1).astype(np.int32)
                 place = np.clip(np.take_along_axis(np.abs(value), order, 1) * scale, 0, 255).astype(np.uint8)
-                signs = np.packbits(h[:, :COUNTED] > 0, axis=1)
+                counted = np.clip(np.round(unit @ basis * (math.sqrt(dim) * _BYTE)) + 128, 0, 255).astype(np.uint8)
                 ckey = (np.round(unit.astype(np.float64) * 20_000).astype(np.int64) * mix).sum(1)
                 n = len(unit)
-                code = np.ascontiguousarray(np.concatenate((sig.astype(_sig_type(directions)).view(np.uint8).reshape(n, -1), place, signs), axis=1))
+                code = np.ascontiguousarray(np.concatenate((sig.astype(_sig_type(directions)).view(np.uint8).reshape(n, -1), place, counted), axis=1))
                 ends = lambda width: np.arange(0, (n + 1) * width, width, dtype=np.int32)
                 codes = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends(code.shape[1])), pa.py_buffer(code)])
                 yield pa.RecordBatch.from_arrays(
@@ -140,79 +165,182 @@ def _sig_type(directions: int) -> type:
     return np.uint16 if 2 * directions <= 1 << 16 else np.uint32
 
 
-#: Rows of a partition that are laid out at once; a window array is never cut.
-CHUNK_ROWS = 150_000
-
-
-def _meeting(batches: Iterator[pa.RecordBatch], directions: int, tails: int, window: int, most_apart: int) -> Iterator[pa.RecordBatch]:
-    """The pairs of a partition, array by array: packed rows are held as they came, only some arrays at a time are unpacked."""
-    table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-    if table is None or not table.num_rows:
-        return
-    own, second = table.column("array").to_numpy().astype(np.int64), table.column("second").to_numpy().astype(np.int64)
-    key = own << 32 | (second + 1)
-    order = np.argsort(key, kind="stable")
-    ends = np.append(np.flatnonzero(np.diff(key[order])) + 1, len(order))
-    at = 0
-    while at < len(order):
-        to = int(ends[max(np.searchsorted(ends, at + CHUNK_ROWS, side="right") - 1, np.searchsorted(ends, at, side="right"))])
-        yield from _pairs(table.take(pa.array(order[at:to])), directions, tails, window, most_apart)
-        at = to
-
-
-def _pairs(table: pa.Table, directions: int, tails: int, window: int, most_apart: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of rows that meet in two windows and collide in enough of the counted projections; each pair is told in one array only."""
+#: Rows that are laid out at once at least, and pairs whose collisions are counted at once.
+CHUNK_ROWS, CHUNK_PAIRS = 100_000, 1 << 15
+#: Rows of two arrays from which on they are laid against each other in blocks of so many.
+DENSE = 512
+
+
+def _meeting(batches: Iterator[pa.RecordBatch], directions: int, tails: int, dim: int, k: int, at_least: float) -> Iterator[pa.RecordBatch]:
+    """The best candidates of a partition that is sorted by cell: whole cells are laid out as soon as they are there."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+
+    def cut(table: pa.Table, last: bool) -> int:
+        """Rows up to the start of the last cell, which may go on."""
+        if last:
+            return table.num_rows
+        same = np.ones(table.num_rows, bool)
+        for name in ("space", "array", "second", "pair"):
+            c = table.column(name)
+            same &= pa.compute.equal(c, c[table.num_rows - 1]).to_numpy(zero_copy_only=False)
+        return int(table.num_rows - np.argmin(same[::-1])) if not same.all() else 0
+
+    def lay(last: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal held, n
+        table = pa.Table.from_batches(held)
+        to = cut(table, last)
+        if to:
+            yield from _pairs(table.slice(0, to), directions, tails, dim, k, at_least)
+        rest = table.slice(to)
+        held, n = (rest.combine_chunks().to_batches() if rest.num_rows else []), 0
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n >= CHUNK_ROWS:
+            yield from lay(False)
+    if held:
+        yield from lay(True)
+
+
+class _Best:
+    """The most similar candidates of every row so far; what is held is bounded by ``most`` a row and a buffer."""
+
+    def __init__(self, most: int, rows: int) -> None:
+        self.most, self.new, self.n = most, [], 0
+        self.least = np.full(rows, -2.0, np.float32)  # what a row's next candidate must exceed
+        self.who, self.other, self.sim = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+
+    def add(self, a: np.ndarray, b: np.ndarray, sim: np.ndarray) -> None:
+        self.new += [(a, b, sim), (b, a, sim)]
+        self.n += 2 * len(a)
+        if self.n > max(1 << 20, 2 * len(self.who)):
+            self.settle()
+
+    def settle(self) -> None:
+        if not self.n:
+            return
+        who, other, sim = (np.concatenate((x, *(t[i] for t in self.new))) for i, x in enumerate((self.who, self.other, self.sim)))
+        order = np.lexsort((other, -sim, who))
+        who, other, sim = who[order], other[order], sim[order]
+        new = np.concatenate(([True], (who[1:] != who[:-1]) | (other[1:] != other[:-1])))  # a wider window holds what a narrower one held
+        who, other, sim = who[new], other[new], sim[new]
+        first = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1])))
+        rank = np.arange(len(who)) - np.repeat(first, np.diff(np.append(first, len(who))))
+        full = rank == self.most - 1
+        self.least[who[full]] = sim[full]
+        top = rank < self.most
+        self.who, self.other, self.sim, self.new, self.n = who[top], other[top], sim[top], [], 0
+
+    def with_at_least(self, k: int, sim: float, size: int) -> np.ndarray:
+        """Which rows have ``k`` candidates of this similarity."""
+        self.settle()
+        return np.bincount(self.who[self.sim >= sim], minlength=size) >= k
+
+
+def _pairs(table: pa.Table, directions: int, tails: int, dim: int, k: int, at_least: float) -> Iterator[pa.RecordBatch]:
+    """(space, row, other, sim): of every row the best of those it meets in two windows and collides with often enough; a pair is told in one array only."""
     table = table.combine_chunks()
-    spaces = table.column("space").combine_chunks().dictionary_encode()
-    spaces = spaces.combine_chunks() if isinstance(spaces, pa.ChunkedArray) else spaces
+    spaces = pa.compute.dictionary_encode(table.column("space")).combine_chunks()
+    spaces = spaces.chunk(0) if isinstance(spaces, pa.ChunkedArray) else spaces
     space = spaces.indices.to_numpy().astype(np.int64)
-    own = table.column("array").to_numpy().astype(np.int64)
-    second = table.column("second").to_numpy().astype(np.int64)
-    row = table.column("row").to_numpy()
+    own, second, pair, group, row = (table.column(c).to_numpy().astype(np.int64) for c in ("array", "second", "pair", "group", "row"))
     packed = table.column("code").combine_chunks()
     packed = packed.chunk(0) if isinstance(packed, pa.ChunkedArray) else packed
     width = tails * np.dtype(_sig_type(directions)).itemsize
-    size = width + tails + COUNTED // 8
-    raw = np.frombuffer(packed.buffers()[2], np.uint8)[packed.offset * size :][: len(own) * size].reshape(-1, size)
-    sig = np.ascontiguousarray(raw[:, :width]).view(_sig_type(directions)).astype(np.int64)
-    far = raw[:, width : width + tails].astype(np.int64)
-    words = np.ascontiguousarray(raw[:, width + tails :]).view(np.uint64)
+    size = width + tails + dim
+    raw = np.frombuffer(packed.buffers()[2], np.uint8)[np.frombuffer(packed.buffers()[1], np.int32)[packed.offset] :][: len(own) * size].reshape(-1, size)
+    sig = np.ascontiguousarray(raw[:, :width]).view(_sig_type(directions)).astype(np.int32)
+    far = raw[:, width : width + tails].astype(np.int16)
+    basis = np.ascontiguousarray(raw[:, width + tails :])
+    unit = basis.astype(np.float32) - 128
+    unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-9)
     del table, packed
     at_own = (sig == own[:, None]).argmax(1)
     here = far[np.arange(len(own)), at_own]
-    keys, who, place = [], [], []
+    cells, who, place = [], [], []
+    # Cells: rows of one space, array, second array and pair of groups.
+    order = np.lexsort((pair, own, space))
+    change = np.concatenate(([True], (np.diff(space[order]) != 0) | (np.diff(own[order]) != 0) | (np.diff(pair[order]) != 0)))
+    cell = np.empty(len(own), np.int64)
+    cell[order] = np.cumsum(change)
     for i in range(1, tails):
         m = np.flatnonzero((i > at_own) & ((second < 0) | (sig[:, i] == second)))
-        keys.append((space[m] << 50) | (own[m] << 25) | sig[m, i])
+        cells.append((cell[m] << 25) | sig[m, i].astype(np.int64))
         who.append(m)
         place.append(here[m])
-    key, who, place = np.concatenate(keys), np.concatenate(who), np.concatenate(place)
+    key, who, place = np.concatenate(cells), np.concatenate(who), np.concatenate(place)
     order = np.lexsort((place, key))
     key, who, place = key[order], who[order], place[order]
-    p, d = np.arange(len(key)), 0
-    found = []
-    while True:
-        d += 1
-        p = p[p + d < len(key)]
-        p = p[(key[p] == key[p + d]) & (place[p + d] - place[p] <= window)]
-        if not len(p):
-            break
-        a, b = who[p], who[p + d]
-        apart = np.bitwise_count(words[a] ^ words[b]).sum(1, dtype=np.int64)
-        near = np.flatnonzero((apart <= most_apart) & (row[a] != row[b]))
-        if len(near):
-            a, b, k = a[near], b[near], key[p[near]]
-            # The pair is told only where it meets first: in the two lowest arrays in which each lies in the other's window.
-            same = (sig[a][:, :, None] == sig[b][:, None, :]) & (np.abs(far[a][:, :, None] - far[b][:, None, :]) <= window)
-            common = same.any(2)
-            low = np.where(common, sig[a], 1 << 40)
+    within = (pair >> 20) == (pair & 0xFFFFF)  # else only rows of different groups are laid against each other
+    best, closed = _Best(RANKED * k, len(own)), np.zeros(len(own), bool)
+    levels = levels_of(dim, at_least)
+    widest = levels[-1][1]
+    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    sizes = np.diff(np.append(starts, len(key)))
+    sparse = np.flatnonzero(np.repeat(sizes < DENSE, sizes))
+
+    def tell(a: np.ndarray, b: np.ndarray, keys: np.ndarray, byte: int, need: int) -> None:
+        """Pairs that could be among the best of either row: those that collide often enough, where they meet first."""
+        for lo in range(0, len(a), CHUNK_PAIRS):
+            r, s, t = a[lo : lo + CHUNK_PAIRS], b[lo : lo + CHUNK_PAIRS], keys[lo : lo + CHUNK_PAIRS]
+            x, y = basis[r], basis[s]
+            near = np.flatnonzero(np.count_nonzero(np.maximum(x, y) - np.minimum(x, y) <= byte, axis=1) >= need)
+            r, s, t = r[near], s[near], t[near]
+            sim = np.einsum("ij,ij->i", unit[r], unit[s])
+            fine = np.flatnonzero((sim >= at_least - 0.02) & (sim > np.minimum(best.least[r], best.least[s])))
+            r, s, t, sim = r[fine], s[fine], t[fine], sim[fine]
+            # The pair is told only in the two lowest arrays in which each lies in the other's widest window.
+            same = (sig[r][:, :, None] == sig[s][:, None, :]) & (np.abs(far[r][:, :, None] - far[s][:, None, :]) <= widest)
+            low = np.where(same.any(2), sig[r], 1 << 30)
             low.sort(axis=1)
-            first = (k & ((1 << 50) - 1)) == ((low[:, 0] << 25) | low[:, 1])
-            found.append(np.stack((a[first], b[first])))
-    if found:
-        a, b = np.concatenate(found, axis=1)
-        lo, hi = np.minimum(row[a], row[b]), np.maximum(row[a], row[b])
-        yield pa.RecordBatch.from_arrays([pa.array(spaces.dictionary.take(pa.array(space[a])), pa.string()), pa.array(lo), pa.array(hi)], ["space", "a", "b"])
+            first = (own[r] == low[:, 0]) & ((t & ((1 << 25) - 1)) == low[:, 1])
+            best.add(r[first], s[first], sim[first])
+
+    for cos, window, byte, need in levels:
+        p, d = sparse, 0
+        while True:
+            d += 1
+            p = p[p + d < len(key)]
+            p = p[key[p] == key[p + d]]
+            p = p[place[p + d] - place[p] <= window]
+            if not len(p):
+                break
+            a, b = who[p], who[p + d]
+            due = np.flatnonzero(~(closed[a] & closed[b]) & ((group[a] != group[b]) | within[a]) & (row[a] != row[b]))
+            tell(a[due], b[due], key[p[due]], byte, need)
+        closed |= best.with_at_least(k, cos, len(own))
+    # Where two arrays hold many rows, these are laid against each other in blocks by their stored projections, at the widest
+    # window; only what can be among the best of a row goes on to be counted: for the others there are better ones.
+    for start, size in zip(starts[sizes >= DENSE], sizes[sizes >= DENSE]):
+        w, at = who[start : start + size], place[start : start + size]
+        twice, apart = len(np.unique(row[w])) < size, not within[w].all()
+        for lo in range(0, size, DENSE):
+            hi = min(lo + DENSE, size)
+            end = int(np.searchsorted(at, at[hi - 1] + widest, side="right"))
+            mine, theirs = w[lo:hi], w[lo:end]
+            sim = unit[mine] @ unit[theirs].T
+            sim[:, : hi - lo][np.tril(np.ones((hi - lo, hi - lo), bool))] = -2
+            if at[end - 1] - at[lo] > widest:
+                sim[at[None, lo:end] - at[lo:hi, None] > widest] = -2
+            if twice:
+                sim[row[mine][:, None] == row[theirs][None, :]] = -2
+            if apart:
+                sim[(group[mine][:, None] == group[theirs][None, :]) & ~within[mine][:, None]] = -2
+            hit = np.zeros(sim.shape, bool)
+            for axis, least in ((1, best.least[mine][:, None]), (0, best.least[theirs][None, :])):
+                able = sim > np.maximum(least, at_least - 0.02)
+                if np.count_nonzero(able) > 4 * best.most * (hi - lo) and sim.shape[axis] > best.most:
+                    able &= sim >= np.partition(sim, sim.shape[axis] - best.most, axis=axis).take([sim.shape[axis] - best.most], axis=axis)
+                hit |= able
+            i, j = np.nonzero(hit)
+            tell(mine[i], theirs[j], np.full(len(i), key[start]), levels[-1][2], levels[-1][3])
+        best.settle()
+    best.settle()
+    if len(best.who):
+        yield pa.RecordBatch.from_arrays([spaces.dictionary.take(pa.array(space[best.who])).cast(pa.string()), pa.array(row[best.who]), pa.array(row[best.other]), pa.array(best.sim.astype(np.float64))], ["space", "row", "other", "sim"])
 
 
 def _bounded(rows: DataFrame, other: DataFrame, on: list[str], how: str, count: int) -> DataFrame:
@@ -225,8 +353,10 @@ def cosine(x: Column, y: Column) -> Column:
     return dot(x, y) / F.sqrt(dot(x, x) * dot(y, y))
 
 
-def similar_pairs(vectors: DataFrame, *, space: str, row: str, vec: str, dim: int, at_least: float, directions: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Pairs (space, a, b, sim) of class representatives with cosine of at least ``at_least``, and copies (space, rep, row).
+def similar_pairs(vectors: DataFrame, *, space: str, row: str, vec: str, dim: int, k: int, at_least: float, directions: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Pairs (space, a, b, sim) of class representatives with cosine of at least ``at_least`` in which either is among the likely ``k`` nearest of the other, and copies (space, rep, row).
+
+    At most RANKED x k pairs are written for a vector, however many lie within the radius.
 
     Vectors of one direction form a class whose representative is the lowest row; ``copies`` has the members of classes of
     two or more, the representative included. Null vectors, other lengths, NaN, infinite and all-zero ones take no part.
@@ -245,19 +375,31 @@ def similar_pairs(vectors: DataFrame, *, space: str, row: str, vec: str, dim: in
         copies = _bounded(sigs.select("space", "row", "ckey"), classes, ["space", "ckey"], "inner", n_classes).select("space", "rep", "row").distinct()
     # At most two arrays for each direction and space, whatever the rows: the counts are bounded.
     entry = reps.select("space", "row", "sig", "code", F.explode(F.slice("sig", 1, tails - 1)).alias("array"))
-    hot = entry.groupBy("space", "array").agg(F.count("*").alias("n")).where(F.col("n") > HOT_ROWS).select("space", "array", F.lit(True).alias("hot"))
-    hot = cut_table(hot)
+    def hot_of(rows: DataFrame, cols: list[str]) -> DataFrame:
+        # Few: there are at most as many as rows by HOT_ROWS.
+        return cut_table(rows.groupBy(*cols).agg(F.count("*").alias("n")).where(F.col("n") > HOT_ROWS))
+
+    hot = hot_of(entry, ["space", "array"])
     if hot.count():
         entry = entry.join(F.broadcast(hot), ["space", "array"], "left")
         later = F.filter("sig", lambda s: s > F.col("array"))
-        entry = entry.withColumn("second", F.explode(F.when(F.col("hot"), later).otherwise(F.array(F.lit(-1))))).drop("hot")
+        entry = entry.withColumn("second", F.explode(F.when(F.col("n").isNotNull(), later).otherwise(F.array(F.lit(-1))))).drop("n")
+        cells = hot_of(entry.where("second >= 0"), ["space", "array", "second"])
+    else:
+        entry, cells = entry.withColumn("second", F.lit(-1)), None
+    if cells is not None and cells.count():
+        # A cell that is still hot is cut in groups of rows; every two groups meet in a task of their own.
+        entry = entry.join(F.broadcast(cells), ["space", "array", "second"], "left").withColumn("groups", F.least(F.lit((1 << 20) - 1), F.ceil(F.coalesce("n", F.lit(1)) / HOT_ROWS)).cast("int"))
+        entry = entry.withColumn("group", F.pmod(F.xxhash64("row"), F.col("groups")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+        entry = entry.withColumn("pair", F.least("group", "x") * (1 << 20) + F.greatest("group", "x")).drop("n", "groups", "x")
     else:
-        entry = entry.withColumn("second", F.lit(-1))
-    angle = math.acos(at_least) / math.pi
-    most_apart = math.ceil(COUNTED * angle + SPARE * math.sqrt(COUNTED * angle * (1 - angle)))
-    window = math.ceil(_STEPS * 3.2 * math.sqrt(2 - 2 * at_least))
-    meet = entry.drop("sig").repartition("space", "array", "second").mapInArrow(lambda it: _meeting(it, directions, tails, window, most_apart), "space string, a long, b long")
-    pairs = cut_table(meet.distinct())
+        entry = entry.withColumn("group", F.lit(0)).withColumn("pair", F.lit(0))
+    cell = ["space", "array", "second", "pair"]
+    entry = entry.select(*cell, "group", "row", "code").repartition(*cell).sortWithinPartitions(*cell)
+    meet = entry.mapInArrow(lambda it: _meeting(it, directions, tails, dim, k, at_least), "space string, row long, other long, sim double")
+    # A vector has at most RANKED x k candidates in each of its few cells.
+    best = meet.withColumn("n", F.row_number().over(W.partitionBy("space", "row").orderBy(F.desc("sim"), "other"))).where(F.col("n") <= RANKED * k)
+    pairs = cut_table(best.select("space", F.least("row", "other").alias("a"), F.greatest("row", "other").alias("b")).distinct())
     ends = cut_table(pairs.select("space", F.explode(F.array("a", "b")).alias("row")).distinct())
     of = cut_table(_bounded(base, ends, ["space", "row"], "left_semi", ends.count()).dropDuplicates(["space", "row"]))
     verified = pairs.join(of.select("space", F.col("row").alias("a"), F.col("vec").alias("va")), ["space", "a"]).join(of.select("space", F.col("row").alias("b"), F.col("vec").alias("vb")), ["space", "b"])
@@ -270,7 +412,7 @@ def similar_neighbours(vectors: DataFrame, *, space: str, row: str, vec: str, di
     Ties go to the lower row. Members of a class of copies have each other as neighbours first (the ``k`` lowest rows
     serve); a class, however large, is never expanded into its pairs.
     """
-    pairs, copies = similar_pairs(vectors, space=space, row=row, vec=vec, dim=dim, at_least=at_least)
+    pairs, copies = similar_pairs(vectors, space=space, row=row, vec=vec, dim=dim, k=k, at_least=at_least)
     both = pairs.select("space", F.col("a").alias("row"), F.col("b").alias("neighbour"), "sim").unionByName(pairs.select("space", F.col("b").alias("row"), F.col("a").alias("neighbour"), "sim"))
     lowest = W.partitionBy("space", "rep").orderBy("row")
     heads = copies.withColumn("n", F.row_number().over(lowest)).where(F.col("n") <= k + 1).select("space", "rep", F.col("row").alias("head"))

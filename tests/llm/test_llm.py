@@ -59,7 +59,7 @@ def test_similar_neighbours_against_brute_force(spark):
 
 def test_hot_arrays_are_split_without_loss(spark, monkeypatch):
     df, _ = vectors(spark)
-    args = {"space": "modality", "row": "embedding_row", "vec": "vec", "dim": 64, "at_least": 0.9}
+    args = {"space": "modality", "row": "embedding_row", "vec": "vec", "dim": 64, "k": 10, "at_least": 0.9}
     plain = rows(similar_vectors.similar_pairs(df, **args)[0], "space", "a", "b")
     monkeypatch.setattr(similar_vectors, "HOT_ROWS", 1)
     assert rows(similar_vectors.similar_pairs(df, **args)[0], "space", "a", "b") == plain and plain

@@ -25,5 +25,5 @@ def test_pairs_with_many_arrays(spark):
     y /= np.linalg.norm(y, axis=1, keepdims=True)
     both = np.vstack((x, 0.905 * x + (1 - 0.905**2) ** 0.5 * y))
     df = spark.createDataFrame([("asr", i, u.tolist()) for i, u in enumerate(both)], "s string, r long, v array<float>")
-    got = v.similar_pairs(df, space="s", row="r", vec="v", dim=64, at_least=0.9, directions=8192)[0].count()
+    got = v.similar_pairs(df, space="s", row="r", vec="v", dim=64, k=10, at_least=0.9, directions=8192)[0].count()
     assert got >= (recall(v.LEAST_DIRECTIONS, v.TAILS) - 0.005) * 1500
