@@ -275,7 +275,13 @@ def _pairs(table: pa.Table, directions: int, tails: int, dim: int, k: int, at_le
     order = np.lexsort((place, key))
     key, who, place = key[order], who[order], place[order]
     within = (pair >> 20) == (pair & 0xFFFFF)  # else only rows of different groups are laid against each other
-    best, closed = _Best(RANKED * k, len(own)), np.zeros(len(own), bool)
+    # A row is here once for each of its cells; what one cell has brought bounds what others need look for.
+    order = np.lexsort((row, space))
+    one = np.empty(len(row), np.int64)
+    one[order] = np.cumsum(np.concatenate(([False], (np.diff(row[order]) != 0) | (np.diff(space[order]) != 0))))
+    shown = np.empty(one[order[-1]] + 1, np.int64)
+    shown[one] = np.arange(len(row))
+    best, closed = _Best(RANKED * k, len(shown)), np.zeros(len(shown), bool)
     levels = levels_of(dim, at_least)
     widest = levels[-1][1]
     starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
@@ -290,14 +296,14 @@ def _pairs(table: pa.Table, directions: int, tails: int, dim: int, k: int, at_le
             near = np.flatnonzero(np.count_nonzero(np.maximum(x, y) - np.minimum(x, y) <= byte, axis=1) >= need)
             r, s, t = r[near], s[near], t[near]
             sim = np.einsum("ij,ij->i", unit[r], unit[s])
-            fine = np.flatnonzero((sim >= at_least - 0.02) & (sim > np.minimum(best.least[r], best.least[s])))
+            fine = np.flatnonzero((sim >= at_least - 0.02) & (sim > np.minimum(best.least[one[r]], best.least[one[s]])))
             r, s, t, sim = r[fine], s[fine], t[fine], sim[fine]
             # The pair is told only in the two lowest arrays in which each lies in the other's widest window.
             same = (sig[r][:, :, None] == sig[s][:, None, :]) & (np.abs(far[r][:, :, None] - far[s][:, None, :]) <= widest)
             low = np.where(same.any(2), sig[r], 1 << 30)
             low.sort(axis=1)
             first = (own[r] == low[:, 0]) & ((t & ((1 << 25) - 1)) == low[:, 1])
-            best.add(r[first], s[first], sim[first])
+            best.add(one[r[first]], one[s[first]], sim[first])
 
     for cos, window, byte, need in levels:
         p, d = sparse, 0
@@ -309,9 +315,9 @@ def _pairs(table: pa.Table, directions: int, tails: int, dim: int, k: int, at_le
             if not len(p):
                 break
             a, b = who[p], who[p + d]
-            due = np.flatnonzero(~(closed[a] & closed[b]) & ((group[a] != group[b]) | within[a]) & (row[a] != row[b]))
+            due = np.flatnonzero(~(closed[one[a]] & closed[one[b]]) & ((group[a] != group[b]) | within[a]) & (row[a] != row[b]))
             tell(a[due], b[due], key[p[due]], byte, need)
-        closed |= best.with_at_least(k, cos, len(own))
+        closed |= best.with_at_least(k, cos, len(shown))
     # Where two arrays hold many rows, these are laid against each other in blocks by their stored projections, at the widest
     # window; only what can be among the best of a row goes on to be counted: for the others there are better ones.
     for start, size in zip(starts[sizes >= DENSE], sizes[sizes >= DENSE]):
@@ -330,7 +336,7 @@ def _pairs(table: pa.Table, directions: int, tails: int, dim: int, k: int, at_le
             if apart:
                 sim[(group[mine][:, None] == group[theirs][None, :]) & ~within[mine][:, None]] = -2
             hit = np.zeros(sim.shape, bool)
-            for axis, least in ((1, best.least[mine][:, None]), (0, best.least[theirs][None, :])):
+            for axis, least in ((1, best.least[one[mine]][:, None]), (0, best.least[one[theirs]][None, :])):
                 able = sim > np.maximum(least, at_least - 0.02)
                 if np.count_nonzero(able) > 4 * best.most * (hi - lo) and sim.shape[axis] > best.most:
                     able &= sim >= np.partition(sim, sim.shape[axis] - best.most, axis=axis).take([sim.shape[axis] - best.most], axis=axis)
@@ -340,7 +346,8 @@ def _pairs(table: pa.Table, directions: int, tails: int, dim: int, k: int, at_le
         best.settle()
     best.settle()
     if len(best.who):
-        yield pa.RecordBatch.from_arrays([spaces.dictionary.take(pa.array(space[best.who])).cast(pa.string()), pa.array(row[best.who]), pa.array(row[best.other]), pa.array(best.sim.astype(np.float64))], ["space", "row", "other", "sim"])
+        who, other = shown[best.who], shown[best.other]
+        yield pa.RecordBatch.from_arrays([spaces.dictionary.take(pa.array(space[who])).cast(pa.string()), pa.array(row[who]), pa.array(row[other]), pa.array(best.sim.astype(np.float64))], ["space", "row", "other", "sim"])
 
 
 def _bounded(rows: DataFrame, other: DataFrame, on: list[str], how: str, count: int) -> DataFrame:
