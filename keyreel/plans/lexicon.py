@@ -223,7 +223,7 @@ SELECT query, embedding_row, round(score, 6) AS score FROM s WHERE score >= 0.8"
 SELECT query, k.video_id, embedding_row, bm25, c.frame_idx AS frame FROM k LEFT JOIN canon c ON c.video_id = k.video_id AND c.kf_n = k.kf_n""",
     "folded_text": f"SELECT DISTINCT doc_id, length({fold_sql('text')})::INTEGER AS folded_length, len(list_distinct({tokens_sql('text')}))::INTEGER AS distinct_tokens FROM documents WHERE text IS NOT NULL",
     "text_quality": f"WITH {SCREEN} SELECT source_pack, count(*) FILTER (coalesce(trim(regexp_replace(ocr_text, '\\s+', ' ', 'g')) = '', true)) AS blank, count(*) FILTER (contains(ocr_text, chr(65533))) AS replacement, count(*) FILTER (length(ocr_text) > 480) AS long FROM screen GROUP BY source_pack",
-    "evidence_rows": f"""WITH {CANON}, {SPEECH}, a AS (SELECT g AS anchor, video_id, pts_time AS t FROM canon WHERE pts_time IS NOT NULL AND kf_n % 200 = 7),
+    "evidence_rows": f"""WITH {CANON}, {SPEECH}, a AS (SELECT g AS anchor, video_id, pts_time AS t FROM canon WHERE pts_time IS NOT NULL),
 j AS (SELECT anchor, embedding_row, start, len(list_intersect(list_distinct({tokens_sql("'" + ASKED[2] + "'")}), list_distinct({tokens_sql('text')})))::INTEGER AS overlap, CASE WHEN t BETWEEN start AND "end" THEN 0.0 ELSE least(abs(t - start), abs(t - "end")) END AS distance
 FROM a JOIN speech s ON a.video_id = s.video_id AND "end" >= start AND start - 15 <= t AND "end" + 15 >= t WHERE text IS NOT NULL),
 r AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY overlap DESC, distance, embedding_row) <= 5)
@@ -243,6 +243,6 @@ x AS (SELECT query_id, unnest(['unknown_frame', 'repeated', 'beyond_limit', 'bad
 r AS (SELECT *, row_number() OVER (PARTITION BY query, video_id ORDER BY bm25 DESC, doc) AS r1, row_number() OVER (PARTITION BY query, video_id ORDER BY coverage DESC, doc) AS r2 FROM b),
 f AS (SELECT *, 1.0::DOUBLE / (60 + r1) + 1.25::DOUBLE / (60 + r2) AS score FROM r)
 SELECT query, video_id, doc, round(score, 6) AS score, row_number() OVER (PARTITION BY query, video_id ORDER BY round(score, 9) DESC, pts_time NULLS FIRST, kf_n NULLS FIRST, doc) AS place FROM f QUALIFY place <= 3""",
-    "local_speech_score": f"""WITH {CANON}, {SPEECH}, f AS (SELECT * FROM canon WHERE pts_time IS NOT NULL AND kf_n % 100 = 3)
+    "local_speech_score": f"""WITH {CANON}, {SPEECH}, f AS (SELECT * FROM canon WHERE pts_time IS NOT NULL)
 SELECT f.g, coalesce(max(length(text)), 0)::DOUBLE AS score FROM f LEFT JOIN speech s ON f.video_id = s.video_id AND s.text IS NOT NULL AND s."end" >= s.start AND s.start - 60 <= f.pts_time AND s."end" + 60 >= f.pts_time GROUP BY f.g""",
 }

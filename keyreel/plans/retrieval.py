@@ -11,9 +11,8 @@ from keyreel.plans.base import CANON, REQUESTS, canonical, requests
 from keyreel.session import table
 from keyreel.sources import ingest
 
-#: The query vectors, set against all rows. The SQL still names five of its own.
+#: The query vectors, set against all rows.
 _Q = "vec_id % 20 = 0"
-_SQL_Q = "vec_id IN (1, 2, 3, 4, 5)"
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
@@ -21,7 +20,7 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
     return dense.score_all(e, e.where(_Q).select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv")), vec="embedding", query_id="q", query_vec="qv", keep=["vec_id", "label"])
 
 
-_SCORED = f"""sc AS (SELECT q.vec_id AS query, e.vec_id, e.label, list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings e, (SELECT * FROM embeddings WHERE {_SQL_Q}) q)"""
+_SCORED = f"""sc AS (SELECT q.vec_id AS query, e.vec_id, e.label, list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings e, (SELECT * FROM embeddings WHERE {_Q}) q)"""
 
 
 def dense_topk(spark: SparkSession, d: str) -> DataFrame:

@@ -253,13 +253,13 @@ SELECT name, rows, videos, CASE WHEN rows = 0 THEN 'missing' WHEN videos >= al T
     "pilot_scope": f"WITH {CANON} SELECT video_id, kf_n FROM canon WHERE pack IN ('L21', 'K01') QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY kf_n) = count(*) OVER (PARTITION BY video_id) // 2 + 1",
     "nearest_frame": f"""WITH {CANON}, {SPEECH}, k AS (SELECT video_id, pts_time, min(kf_n) AS kf_n FROM canon WHERE pts_time IS NOT NULL GROUP BY ALL), s AS (SELECT embedding_row, video_id, (start + "end") / 2 AS mid FROM speech WHERE video_id IS NOT NULL AND "end" >= start)
 SELECT embedding_row, arg_min(kf_n, (abs(pts_time - mid), pts_time)) AS kf_n, round(min(abs(pts_time - mid)), 6) AS distance FROM s JOIN k USING (video_id) GROUP BY embedding_row""",
-    "interval_context": f"""WITH {CANON}, {SPEECH}, a AS (SELECT g AS anchor, video_id, pts_time AS at_t FROM canon WHERE pts_time IS NOT NULL AND kf_n % 100 = 1),
+    "interval_context": f"""WITH {CANON}, {SPEECH}, a AS (SELECT g AS anchor, video_id, pts_time AS at_t FROM canon WHERE pts_time IS NOT NULL),
 j AS (SELECT anchor, text, row_number() OVER (PARTITION BY anchor ORDER BY embedding_row) AS r FROM a JOIN speech s ON a.video_id = s.video_id AND s."end" >= s.start AND s.start - 15 <= at_t AND s."end" + 15 >= at_t WHERE trim(text) <> '')
 SELECT anchor, substring(string_agg(text, ' ' ORDER BY r), 1, 1500) AS context FROM j WHERE r <= 3 GROUP BY anchor""",
     "interval_overlap": f"""WITH {SPEECH}, n AS (SELECT embedding_row, start AS s1, "end" AS e1, lead(start) OVER w AS s2, lead("end") OVER w AS e2 FROM speech WHERE video_id IS NOT NULL AND "end" >= start WINDOW w AS (PARTITION BY video_id ORDER BY start, "end", embedding_row))
 SELECT embedding_row, round(greatest(0.0, least(e1, e2) - greatest(s1, s2)), 6) AS overlap, round(greatest(0.0, s2 - e1, s1 - e2), 6) AS gap FROM n WHERE s2 IS NOT NULL""",
     "temporal_neighbors": f"""WITH {CANON}, p AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY pts_time, kf_n) AS pos FROM canon WHERE pts_time IS NOT NULL)
-SELECT a.g AS seed, b.g, (b.pos - a.pos)::INTEGER AS offset FROM p a JOIN p b ON a.video_id = b.video_id AND b.pos - a.pos BETWEEN -2 AND 2 AND a.pos <> b.pos WHERE a.kf_n % 50 = 0""",
+SELECT a.g AS seed, b.g, (b.pos - a.pos)::INTEGER AS offset FROM p a JOIN p b ON a.video_id = b.video_id AND b.pos - a.pos BETWEEN -2 AND 2 AND a.pos <> b.pos""",
     "temporal_consensus": f"""WITH {_FRAMES}, l AS (SELECT g, score, greatest(lag(score, 1) OVER w, lead(score, 1) OVER w, lag(score, 2) OVER w, lead(score, 2) OVER w) AS near FROM fs WINDOW w AS (PARTITION BY video_id ORDER BY pts_time, kf_n))
 SELECT g, round(0.7::DOUBLE * score + 0.3::DOUBLE * coalesce(near, score), 6) AS consensus FROM l""",
     "peak_neighbourhoods": f"""WITH {_FRAMES}, pk AS (SELECT video_id, pts_time AS p FROM fs QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY score DESC, g) <= 2), nr AS (SELECT DISTINCT fs.* FROM fs JOIN pk USING (video_id) WHERE abs(pts_time - p) <= 3),

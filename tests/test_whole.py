@@ -1,23 +1,13 @@
-"""Queries over all their rows, where the registered SQL still names a part of them."""
+"""Queries over all their rows, and operators against the uncut computation."""
 
 import numpy as np
 import pytest
 
 from keyreel.operators import dense, select
 from keyreel.plans import catalogue
-from tests.oracle import compare
 
 QUERIES, SQL = catalogue.queries(), catalogue.sql()
 
-#: The part of the keyframes that the SQL names.
-PARTS = {"evidence_rows": " AND kf_n % 200 = 7", "local_speech_score": " AND kf_n % 100 = 3", "interval_context": " AND kf_n % 100 = 1", "temporal_neighbors": " WHERE a.kf_n % 50 = 0"}
-
-
-@pytest.mark.parametrize("name", sorted(PARTS))
-def test_every_keyframe_is_an_anchor(spark, sf_dir, name):
-    assert compare(spark, sf_dir, name, QUERIES[name], SQL[name].replace(PARTS[name], "")) == ""
-
-
 def test_every_timed_keyframe_has_a_speech_score(spark, sf_dir):
     from keyreel.plans.base import canonical
 
@@ -25,13 +15,8 @@ def test_every_timed_keyframe_has_a_speech_score(spark, sf_dir):
     assert {r["g"] for r in QUERIES["local_speech_score"](spark, sf_dir).collect()} == want
 
 
-#: The query vectors that the SQL names.
-FIVE = "WHERE vec_id IN (1, 2, 3, 4, 5)"
-
-
-@pytest.mark.parametrize("name", ["dense_topk", "video_max", "zscore_fusion", "clip_top3", "clip_hybrid", "per_video_frames", "margin_route"])
-def test_every_twentieth_vector_is_a_query(spark, sf_dir, name):
-    assert compare(spark, sf_dir, name, QUERIES[name], SQL[name].replace(FIVE, "WHERE vec_id % 20 = 0")) == ""
+def test_sql_names_no_part_of_the_keyframes():
+    assert not [n for n, q in SQL.items() if "kf_n %" in q or "vec_id IN" in q]
 
 
 def test_search_in_several_blocks(spark, monkeypatch):
