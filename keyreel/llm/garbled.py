@@ -196,6 +196,35 @@ def candidates(text: str) -> list[tuple[str, str]]:
     return [(c.name, c.text()) for c in _chains(text)]
 
 
+@lru_cache(_REMEMBERED)
+def _marks_in_short(word: str) -> int:
+    return len(_marks().findall(word))
+
+
+def _marks_in(word: str) -> int:
+    return _marks_in_short(word) if len(word) <= _SHORT else len(_marks().findall(word))
+
+
+def cleanest(text: str) -> str:
+    """The text after the chain that leaves the fewest marks, of several the one that leaves it shortest; itself where none leaves fewer. Only the chosen chain's text is put together."""
+    if not has_marks(text):
+        return text
+    best, chosen = (len(_marks().findall(text)), len(text)), None
+    of: dict[str, tuple[Counter, int]] = {}
+    for c in _chains(text):
+        if c.base not in of:
+            of[c.base] = Counter(_WORD.findall(c.base)), len(_marks().findall(c.base))
+        n, left = of[c.base]
+        size = len(c.base)
+        for w, u in zip(c.words, c.made):
+            if u != w:
+                left += n[w] * (_marks_in(u) - _marks_in(w))
+                size += n[w] * (len(u) - len(w))
+        if (left, size) < best:
+            best, chosen = (left, size), c
+    return chosen.text() if chosen else text
+
+
 def _grams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
     """Hashed 1-, 2- and 3-grams ending at every character, case folded, its block of code points, and the text each position belongs to."""
     joined = "\x02\x02" + "\x02\x02".join(texts)

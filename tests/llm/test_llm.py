@@ -281,6 +281,12 @@ def test_every_chain_is_tried():
     assert CLEAN[0] in [t for _, t in garbled.candidates(garbled.garble(twice, "cp1251"))]
 
 
+def test_cleanest_text():
+    for t in CLEAN[:4]:
+        assert garbled.cleanest(t) == t and garbled.cleanest(garbled.garble(t, "cp1252")) == t
+        assert garbled.cleanest(garbled.garble(garbled.garble(t, "cp1258"), "cp437")) == t
+
+
 def test_margin_lies_between_clean_and_garbled():
     hist = np.zeros((2, 2 * garbled._REACH * garbled._STEPS), dtype=np.int64)
     at = lambda nats: int((nats + garbled._REACH) * garbled._STEPS)
