@@ -31,7 +31,7 @@ QUESTION_CUES = [
     ("person", "\\b(ai|who|nguoi nao|person)\\b"),
 ]
 #: Answers that are none.
-NON_ANSWERS = ["", "unknown", "none", "null", "n/a", "khong biet", "khong ro", "evidence-only", "i don't know", "cannot determine", "khong xac dinh"]
+NON_ANSWERS = ["", "unknown", "none", "null", "n/a", "khong biet", "khong ro", "evidence-only", "i don't know", "cannot determine", "cannot be determined", "khong xac dinh", "unavailable", "na", "placeholder"]
 STOP_WORDS = ["the", "a", "an", "of", "in", "on", "at", "and", "or", "is", "are", "la", "va", "cua", "o", "trong", "cac", "nhung", "mot"]
 
 
@@ -125,7 +125,7 @@ def numbers(c: Column | str) -> Column:
 
 
 #: Vietnamese and English number words, without accents.
-UNITS = {"khong": 0, "mot": 1, "hai": 2, "ba": 3, "bon": 4, "nam": 5, "lam": 5, "sau": 6, "bay": 7, "tam": 8, "chin": 9, "zero": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12, "twenty": 20, "thirty": 30, "forty": 40, "fifty": 50}
+UNITS = {"khong": 0, "mot": 1, "hai": 2, "ba": 3, "bon": 4, "tu": 4, "nam": 5, "lam": 5, "sau": 6, "bay": 7, "tam": 8, "chin": 9, "zero": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12, "thirteen": 13, "fourteen": 14, "fifteen": 15, "sixteen": 16, "seventeen": 17, "eighteen": 18, "nineteen": 19, "twenty": 20, "thirty": 30, "forty": 40, "fifty": 50, "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90}
 SCALES = {"muoi": 10, "tram": 100, "nghin": 1000, "ngan": 1000, "trieu": 10**6, "ty": 10**9, "hundred": 100, "thousand": 1000, "million": 10**6, "billion": 10**9}
 
 

@@ -125,6 +125,11 @@ def test_number_words():
     assert T.calculate("2 * (3 + 4) / 7") == 2.0 and T.calculate("__import__('os')") is None
 
 
+def test_number_words_and_answers_that_are_none(spark):
+    df = spark.createDataFrame([("seventy people and nineteen cars", "Unavailable"), ("hai mươi tư", "N/A"), ("x", "cannot be determined"), ("x", "seventy")], "t string, a string")
+    assert [(r[0], r[1]) for r in df.select(T.spoken_numbers("t"), T.is_non_answer("a")).collect()] == [([70, 19], True), ([24], True), ([], True), ([], False)]
+
+
 def test_text_decisions(spark):
     df = spark.createDataFrame([("Biển báo ghi chữ gì?",), ("How many cars?",), ("xin chào",), (None,)], "q string")
     assert [r[0] for r in df.select(T.question_type("q")).collect()] == ["screen_text", "count", "action", None]
