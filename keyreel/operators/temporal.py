@@ -48,23 +48,35 @@ def range_join(points: DataFrame, intervals: DataFrame, *, on: str, time: str, s
     return p.join(i, [on, "_cell"]).drop("_cell").where((F.col(start) - within <= F.col(time)) & (F.col(end) + within >= F.col(time)))
 
 
-def nearest_row(left: DataFrame, right: DataFrame, *, on: str, time: str, right_time: str, payload: list[str], earlier_on_tie: bool = True) -> DataFrame:
+def nearest_row(left: DataFrame, right: DataFrame, *, on: str, time: str, right_time: str, payload: list[str], earlier_on_tie: bool = True, width: float = 600.0) -> DataFrame:
     """Each left row with the nearest right row of the same ``on``, whatever the distance; ties to the earlier (or the lowest payload).
 
-    One shuffle: both sides in one sorted sequence, the last right row before and the first after taken by windows.
+    Both sides lie in one sorted sequence per time cell of ``width``, to which the last right row of the cells before and the
+    first of the cells after are added; the last right row before and the first after are taken by windows that only ever run
+    on from the row before, so the work is linear and a long timeline is spread over its cells. From a left time that is
+    infinite or NaN all right rows are equally far.
     """
     lcols = left.columns
     r = right.where(F.col(right_time).isNotNull()).groupBy(on, right_time).agg(F.min(F.struct(*payload)).alias("_p"))
-    u = left.withColumn("_t", F.col(time)).withColumn("_r", F.lit(None).cast(r.select(F.struct(right_time, "_p")).schema[0].dataType)).withColumn("_l", F.lit(1))
-    v = r.select(on, F.col(right_time).alias("_t"), F.struct(right_time, "_p").alias("_r"), F.lit(0).alias("_l"))
-    both = u.unionByName(v, allowMissingColumns=True)
-    before = F.last("_r", ignorenulls=True).over(W.partitionBy(on).orderBy("_t", "_l").rowsBetween(W.unboundedPreceding, 0))
-    after = F.first("_r", ignorenulls=True).over(W.partitionBy(on).orderBy("_t", F.desc("_l")).rowsBetween(0, W.unboundedFollowing))
+    at = F.col(time).cast("double")
+    u = left.withColumn("_t", F.when(F.isnan(at) | (F.abs(at) == float("inf")), float("-inf")).otherwise(at)).withColumn("_r", F.lit(None).cast(r.select(F.struct(right_time, "_p")).schema[0].dataType)).withColumn("_l", F.lit(1))
+    v = r.select(on, F.col(right_time).cast("double").alias("_t"), F.struct(right_time, "_p").alias("_r"), F.lit(0).alias("_l"))
+    # NaN comes last in order, as in the last cell.
+    cell = F.when(F.isnan("_t"), F.lit(2**63 - 1)).otherwise(F.floor(F.col("_t") / width).cast("long"))
+    both = u.unionByName(v, allowMissingColumns=True).withColumn("_cell", cell)
+    cells = both.groupBy(on, "_cell").agg(F.min("_r").alias("_lo"), F.max("_r").alias("_hi"), F.max("_l").alias("_l"))
+    by, ahead = W.partitionBy(on), (W.unboundedPreceding, -1)
+    earlier, later = F.last("_hi", ignorenulls=True).over(by.orderBy("_cell").rowsBetween(*ahead)), F.last("_lo", ignorenulls=True).over(by.orderBy(F.desc("_cell")).rowsBetween(*ahead))
+    ends = cells.select(on, "_cell", "_l", F.array(earlier, later).alias("_x")).where("_l = 1 AND _cell IS NOT NULL").select(on, "_cell", F.explode("_x").alias("_r")).where("_r IS NOT NULL")
+    both = both.unionByName(ends.select(on, "_cell", F.col(f"_r.{right_time}").cast("double").alias("_t"), "_r", F.lit(0).alias("_l")), allowMissingColumns=True)
+    inside, so_far = W.partitionBy(on, "_cell"), (W.unboundedPreceding, 0)
+    before = F.last("_r", ignorenulls=True).over(inside.orderBy("_t", "_l").rowsBetween(*so_far))
+    after = F.last("_r", ignorenulls=True).over(inside.orderBy(F.desc("_t"), "_l").rowsBetween(*so_far))
     out = both.withColumn("_b", before).withColumn("_a", after).where("_l = 1")
     db, da = F.abs(F.col("_t") - F.col(f"_b.{right_time}")), F.abs(F.col(f"_a.{right_time}") - F.col("_t"))
     first = (db <= da) if earlier_on_tie else ((db < da) | ((db == da) & (F.col("_b._p") <= F.col("_a._p"))))
     pick = F.when(F.col("_t").isNull(), None).when(F.col("_a").isNull() | (F.col("_b").isNotNull() & first), F.col("_b")).otherwise(F.col("_a"))
-    return out.withColumn("_n", pick).select(*lcols, *(F.col(f"_n._p.{p}").alias(f"near_{p}") for p in payload), F.abs(F.col("_t") - F.col(f"_n.{right_time}")).alias("distance"))
+    return out.withColumn("_n", pick).select(*lcols, *(F.col(f"_n._p.{p}").alias(f"near_{p}") for p in payload), F.abs(F.col(time) - F.col(f"_n.{right_time}")).alias("distance"))
 
 
 def context_windows(anchors: DataFrame, rows: DataFrame, *, on: str, anchor: str, time: str, start: str, end: str, text: str, order: str, within: float, most_rows: int, most_chars: int, joint: str = " ") -> DataFrame:

@@ -1,6 +1,7 @@
 """Behaviour of core operators on small fixtures: ties, nulls, empty tables, repeated rows, clashing columns."""
 
 import datetime as dt
+import time as clock
 import zipfile
 
 import pytest
@@ -214,6 +215,21 @@ def test_nearest_row_ties_go_to_the_earlier(spark):
     assert got == [(1, 9), (2, None), (3, None)]
 
 
+def test_nearest_row_of_one_long_timeline(spark):
+    n, inf, nan = 60_000, float("inf"), float("nan")
+    left = spark.range(n).selectExpr("'v' AS v", "CAST(id AS DOUBLE) * 1.5 AS t", "id")
+    right = spark.range(n).selectExpr("'v' AS v", "CAST(id AS DOUBLE) * 2 + 0.25 AS u", "id AS k")
+    began = clock.time()
+    got = temporal.nearest_row(left, right, on="v", time="t", right_time="u", payload=["k"]).agg(F.count("near_k"), F.max("distance")).first()
+    assert got[0] == n and got[1] == 0.75
+    assert clock.time() - began < 60  # windows that begin anew at each row take minutes
+    far = spark.createDataFrame([("v", -1e7, 1), ("v", 5e6, 2), ("v", 9e6, 3), ("v", inf, 4), ("v", nan, 5), ("w", 700.0, 6)], "v string, t double, id int")
+    few = spark.createDataFrame([("v", 0.0, 1), ("v", 1e7, 2), ("v", nan, 3), ("w", 5000.0, 4)], "v string, u double, k int")
+    for earlier in (True, False):
+        near = temporal.nearest_row(far, few, on="v", time="t", right_time="u", payload=["k"], earlier_on_tie=earlier)
+        assert rows(near, "id", "near_k") == [(1, 1), (2, 1), (3, 2), (4, 1), (5, 1), (6, 4)]
+
+
 def test_range_join_bounds_are_inclusive(spark):
     p = spark.createDataFrame([("v", 15.0)], "v string, t double")
     i = spark.createDataFrame([("v", 0.0, 0.0, 1), ("v", 30.0, 31.0, 2), ("v", 31.0, 32.0, 3), ("v", None, 1.0, 4), ("v", 20.0, 19.0, 5)], "v string, s double, e double, id int")
