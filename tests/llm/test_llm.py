@@ -455,3 +455,13 @@ def test_subjects_without_labels(spark):
     model = subjects.train_subjects(df, ldf, id="doc_id", text="text", subject="subject")
     assert subjects.assign_subjects(df, model, id="doc_id", text="text").count() == 0
     assert subjects.assign_subjects(df.limit(0), model, id="doc_id", text="text").count() == 0
+
+
+def test_subjects_learn_from_every_labelled_document(spark):
+    named = lambda i: "".join(chr(97 + int(d)) for d in str(i))
+    df = spark.createDataFrame([(i, f"court judge x{named(i // 2)}x. goal keeper") for i in range(6000)], "doc_id long, text string").repartition(4)
+    ldf = spark.createDataFrame([(i, s) for i in range(6000) for s in ("law", "sport")], "doc_id long, subject string")
+    model = subjects.train_subjects(df, ldf, id="doc_id", text="text", subject="subject")
+    assert all(f"x{named(i)}x" in model.word for i in range(3000))
+    size = len(model.word) + 2
+    assert model.ctx.shape == (size, 3) and model.ctx[size - 1].sum() == pytest.approx(12000, abs=0.1)  # each sentence of each document begins once
