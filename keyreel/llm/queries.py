@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyreel.llm.garbled import find_garbled, garbled_flags, train, validate
+from keyreel.llm.garbled import find_garbled, garbled_flags, train_whole, validate_whole
 from keyreel.llm.mixing import mix_sources
 from keyreel.llm.nearest_time import nearest_in_time
 from keyreel.llm.runs import collapse_runs
@@ -57,8 +57,8 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of screen text that stays the same or nearly so, with count and duration; single rows are runs of one."""
     ocr = table(spark, sf_dir, "ocr_global_merged_v2").select(F.col("video_id"), "embedding_row", "pts_time", "kf_n", F.col("ocr_text").alias("text"))
-    model = train(ocr)
-    flagged = garbled_flags(ocr, "text", model, validate(ocr, model)).select("*", (~F.col("garbled")).alias("clean"), tidy_id("video_id").alias("entity"))
+    model, folds = train_whole(ocr)
+    flagged = garbled_flags(ocr, "text", model, validate_whole(ocr, folds)).select("*", (~F.col("garbled")).alias("clean"), tidy_id("video_id").alias("entity"))
     return collapse_runs(flagged, row="embedding_row", entity="entity", time="pts_time", order="kf_n", text="text", usable="clean")
 
 

@@ -305,6 +305,19 @@ def test_held_out_records_do_not_train(spark):
     assert hist[1].sum() <= held and hist[0].sum() == 8 * held
 
 
+def test_every_record_trains_and_validates(spark, monkeypatch):
+    df = spark.createDataFrame([(f"câu số {i} ở đây",) for i in range(2000)] + [(None,), ("",)], "text string")
+    model, folds = garbled.train_whole(df)
+    assert model.c[0].sum() == sum(len(f"câu số {i} ở đây") for i in range(2000))
+    assert len(folds) == garbled.FOLDS and sum(m.c[0].sum() for m in folds) == (garbled.FOLDS - 1) * model.c[0].sum()
+    seen = []
+    monkeypatch.setattr(garbled, "margin_of", lambda hist: seen.append(hist) or 0.0)
+    garbled.validate_whole(df, folds)
+    assert seen[0][1].sum() > 1500 and seen[0][0].sum() == 8 * 2000  # a codec may show a word as it is
+    for t in [*CLEAN, *(x.upper() for x in CLEAN), *(f"“{x}”" for x in CLEAN), *(garbled.garble(x, c) for x in CLEAN for c in garbled.CODECS)]:
+        assert garbled.best(model, garbled._what_changes(t))[0] == pytest.approx(garbled.best(model, t)[0])
+
+
 def test_marks_are_alike_in_both_engines():
     import pyarrow as pa
 
